@@ -25,15 +25,17 @@ def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> list:
     return [row[0] for row in top]
 
 
-def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot_rows: int = HOT_ROWS, spread_by: str | None = None) -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot_rows: int = HOT_ROWS, spread_by: str | None = None, hot: list | None = None) -> DataFrame:
     """Equi-join on ``key`` where ``left`` may be skewed and ``right`` has few rows a key.
 
     Rows of hot keys are divided by a hash of ``spread_by`` (of the whole row if
     not given), and the few matching rows of ``right`` are repeated for each part.
     ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti``.  Null keys
     never match.  The other keys take the same shuffle, so there is one join.
+    ``hot`` names the hot keys where they are known, at most MOST_HOT_KEYS.
     """
-    hot = hot_keys(left, key, hot_rows)
+    if hot is None:
+        hot = hot_keys(left, key, hot_rows)
     if not hot:
         return left.join(right, key, how)
     spread = F.xxhash64(spread_by) if spread_by else F.xxhash64(*left.columns)
