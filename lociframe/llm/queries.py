@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociframe.llm import copies, encoding, leakage
+from lociframe.llm import copies, encoding, leakage, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,7 +46,17 @@ def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_found(spark, sf_dir).groupBy("eval_id").agg(F.count("*").alias("n_documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_records, p6_ids, p7_found, p7_spans, p7_items)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that are lists, tables or junk."""
+    return quality.forms(table(spark, sf_dir, "documents"))
+
+
+def p8_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The measures and outlier scores of every text."""
+    return quality.scored(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_records, p6_ids, p7_found, p7_spans, p7_items, p8_found, p8_stats)}
 
 _KEYS = r"""
 WITH plain AS (
