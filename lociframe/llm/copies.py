@@ -14,27 +14,42 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociframe.plans import skew_join
+from lociframe.plans import Workspace, skew_join
 from lociframe.plans.joins import HOT_ROWS, MOST_HOT_KEYS, md5_key
 from lociframe.plans.workspace import shared_folder
 
 
-def plain(value: Column) -> Column:
-    """The letters and digits of a text in lower case."""
-    return F.lower(F.regexp_replace(value, "[^\\p{L}\\p{N}]+", ""))
+#: The ASCII characters that are neither letters nor digits.
+ASCII_SIGNS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
+FIELDS = ("chrom", "pos", "a0", "a1")
+
+
+def _bare(value: Column) -> Column:
+    return F.translate(F.lower(value), ASCII_SIGNS, "")
 
 
-def record_key() -> Column:
-    """A 128-bit key of ``chrom``, ``pos`` and the two alleles in either order; null if one is null."""
-    a0, a1 = plain(F.col("a0")), plain(F.col("a1"))
-    whole = F.col("chrom").isNotNull() & F.col("pos").isNotNull() & F.col("a0").isNotNull() & F.col("a1").isNotNull()
-    return F.when(whole, md5_key(plain(F.col("chrom")), plain(F.col("pos")), F.least(a0, a1), F.greatest(a0, a1)))
+def _plain(value: Column, bare: Column) -> Column:
+    ascii_only = F.octet_length(bare) == F.char_length(bare)
+    return F.when(ascii_only, bare).otherwise(F.lower(F.regexp_replace(value, "[^\\p{L}\\p{N}]+", "")))
+
+
+def plain(value: Column) -> Column:
+    """The letters and digits of a text in lower case."""
+    return _plain(value, _bare(value))
 
 
 def keyed(feed: DataFrame, at: str | None = None) -> DataFrame:
-    """``(key, rec_id)`` of rows that have all fields, with the column ``at`` if named."""
+    """``(key, rec_id)`` of rows that have all fields, with the column ``at`` if named.
+
+    The key is of 128 bits, over ``chrom``, ``pos`` and the two alleles in either
+    order.  Each step is a projection of its own, so that none is worked out twice.
+    """
     cols = ["rec_id", *([at] if at else [])]
-    return feed.select(record_key().alias("key"), *cols).where(F.col("key").isNotNull() & F.col("rec_id").isNotNull())
+    whole = feed.select(*FIELDS, *cols).dropna(subset=[*FIELDS, "rec_id"])
+    bare = whole.select(*FIELDS, *cols, *[_bare(F.col(c)).alias(f"bare_{c}") for c in FIELDS])
+    told = bare.select(*cols, *[_plain(F.col(c), F.col(f"bare_{c}")).alias(c) for c in FIELDS])
+    ordered = told.select(*cols, "chrom", "pos", F.least("a0", "a1").alias("a0"), F.greatest("a0", "a1").alias("a1"))
+    return ordered.select(md5_key(*map(F.col, FIELDS)).alias("key"), *cols)
 
 
 class CopyLedger:
@@ -121,35 +136,43 @@ def batches_by_year(feed: DataFrame, at: str = "received_at") -> list[Column]:
     return [*parts, F.col(at).isNull()]
 
 
-def ledger_of(feed: DataFrame, at: str = "received_at") -> CopyLedger:
-    """The ledger of a whole feed, taken year by year as it arrived."""
-    ledger = CopyLedger(feed.sparkSession)
-    rows = keyed(feed, at)
-    for part in batches_by_year(feed.select(at), at):
+def ledger_of(rows: DataFrame, at: str = "received_at") -> CopyLedger:
+    """The ledger of all keyed rows, taken year by year as they arrived."""
+    ledger = CopyLedger(rows.sparkSession)
+    for part in batches_by_year(rows.select(at), at):
         ledger.apply(rows.where(part).select("key", "rec_id"))
     return ledger
 
 
-def copy_pairs(feed: DataFrame, ledger: CopyLedger) -> DataFrame:
+def copy_pairs(rows: DataFrame, ledger: CopyLedger) -> DataFrame:
     """``(keep_id, copy_id)``: the earliest record of each group and each other one.
 
-    ``feed`` has ``rec_id, chrom, pos, a0, a1``; rows with a null in these are no
-    copies of anything; fields without any letter or digit equal each other; an
-    empty feed gives no rows.  Rows of keys that occur once are only dropped by the
-    join with the ledger; a key of many rows is divided by ``rec_id``.
+    ``rows`` are keyed rows that the ledger has taken.  Rows of keys that occur once
+    only are dropped by the join with the ledger; a key of many rows is divided by
+    ``rec_id``.
     """
     several = ledger.entries().where(F.col("n_copies") > 1).select("key", "keep_id", "n_copies")
     total = several.agg(F.sum("n_copies")).first()[0] or 0
     most = max(HOT_ROWS, total // MOST_HOT_KEYS)
     hot = [r[0] for r in several.where(F.col("n_copies") > most).select("key").collect()]
-    joined = skew_join(keyed(feed), several.drop("n_copies"), "key", hot=hot, spread_by="rec_id")
+    joined = skew_join(rows.select("key", "rec_id"), several.drop("n_copies"), "key", hot=hot, spread_by="rec_id")
     return joined.where(F.col("rec_id") != F.col("keep_id")).select("keep_id", F.col("rec_id").alias("copy_id"))
 
 
+def copies_in(feed: DataFrame, at: str = "received_at") -> DataFrame:
+    """``(keep_id, copy_id)`` of a whole feed.
+
+    ``feed`` has ``rec_id, chrom, pos, a0, a1`` and the time of arrival; rows with a
+    null in these fields are no copies of anything; fields without any letter or
+    digit equal each other; a null time makes a batch of its own; an empty feed gives
+    no rows; other columns don't matter.  Keys are worked out once and stored.
+    """
+    rows = Workspace(feed.sparkSession, "copies").store(keyed(feed, at), "keys")
+    return copy_pairs(rows, ledger_of(rows, at))
+
+
 def records_once(feed: DataFrame, ledger: CopyLedger) -> DataFrame:
     """Each record once, as its earliest row writes it, with ``n_copies``."""
     entries = ledger.entries().select(F.col("keep_id").alias("rec_id"), "n_copies")
-    return feed.select("rec_id", "chrom", "pos", "a0", "a1").join(entries, "rec_id")
-
+    return feed.select("rec_id", *FIELDS).join(entries, "rec_id")
 
-__all__ = ["CopyLedger", "batches_by_year", "copy_pairs", "keyed", "ledger_of", "plain", "record_key", "records_once"]

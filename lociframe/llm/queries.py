@@ -16,14 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every copy with the earliest record of its group."""
-    feed = table(spark, sf_dir, "variant_feed")
-    return copies.copy_pairs(feed, copies.ledger_of(feed))
+    return copies.copies_in(table(spark, sf_dir, "variant_feed"))
 
 
 def p2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record once, with the number of its copies."""
     feed = table(spark, sf_dir, "variant_feed")
-    return copies.records_once(feed, copies.ledger_of(feed))
+    return copies.records_once(feed, copies.ledger_of(copies.keyed(feed, "received_at")))
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
