@@ -18,34 +18,40 @@ def key_place(format_text: Column, key: str) -> Column:
     return F.array_position(F.split(format_text, ":"), key).cast("int")
 
 
+#: Diploid genotype tokens and what they count (fixed values).
+DIPLOID = {"0/0": 0, "0|0": 0, "0/1": 1, "1/0": 1, "0|1": 1, "1|0": 1, "1/1": 2, "1|1": 2}
+NO_CALL = ("./.", ".|.")
+
+
 def decoded_gt(token: Column) -> Column:
-    """``(value, error)`` of a diploid genotype token; partly missing ones are errors."""
-    a = F.regexp_extract(token, r"\A([0-9]+|\.)[/|]([0-9]+|\.)\z", 1)
-    b = F.regexp_extract(token, r"\A([0-9]+|\.)[/|]([0-9]+|\.)\z", 2)
-    known = a.isin("0", "1") & b.isin("0", "1")
-    missing = token.isNull() | ((a == ".") & (b == ".")) | (token == ".")
-    value = F.when(known, a.cast("float") + b.cast("float"))
-    error = F.when(~known & ~missing, F.concat(F.lit(tag(InvalidSourceError, "unsupported genotype ")), token))
-    return F.struct(value.cast("float").alias("value"), error.alias("error"))
+    """``(value, error)`` of a genotype token; all but whole diploid calls of two alleles are errors."""
+    value = None
+    for text, count in DIPLOID.items():
+        one = F.lit(count).cast("float")
+        value = F.when(token == text, one) if value is None else value.when(token == text, one)
+    known = F.coalesce(token.isin(*DIPLOID, *NO_CALL), F.lit(False))
+    error = F.when(~known, F.concat(F.lit(tag(InvalidSourceError, "unsupported genotype ")), F.coalesce(token, F.lit("(absent)"))))
+    return F.struct(value.alias("value"), error.alias("error"))
 
 
 def decoded_phased(token: Column) -> Column:
     """``(first, second, error)`` of a phased genotype token; each allele may be missing on its own."""
-    a = F.regexp_extract(token, r"\A([0-9]+|\.)\|([0-9]+|\.)\z", 1)
-    b = F.regexp_extract(token, r"\A([0-9]+|\.)\|([0-9]+|\.)\z", 2)
-    good = a.isin("0", "1", ".") & b.isin("0", "1", ".")
-    error = F.when(~F.coalesce(good, F.lit(False)), F.concat(F.lit(tag(UnsupportedRepresentation, "no phased genotype: ")), F.coalesce(token, F.lit(""))))
-    one = lambda x: F.when(x.isin("0", "1"), x.cast("float")).cast("float")
+    a, b = F.substring(token, 1, 1), F.substring(token, 3, 1)
+    good = (F.length(token) == 3) & (F.substring(token, 2, 1) == "|") & a.isin("0", "1", ".") & b.isin("0", "1", ".")
+    unphased = F.length(token).eqNullSafe(3) & (F.substring(token, 2, 1) == "/")
+    kind = F.when(unphased, tag(UnsupportedRepresentation, "no phased genotype: ")).otherwise(tag(InvalidSourceError, "unsupported phased genotype "))
+    error = F.when(~F.coalesce(good, F.lit(False)), F.concat(kind, F.coalesce(token, F.lit("(absent)"))))
+    one = lambda x: F.when(x.isin("0", "1"), x.try_cast("float"))
     return F.struct(one(a).alias("first"), one(b).alias("second"), error.alias("error"))
 
 
 def decoded_ds(token: Column) -> Column:
     """``(value, error)`` of a dosage token: missing, or a finite number from 0 to 2."""
-    number = F.expr("cast(null as float)") if token is None else token.try_cast("float")
-    missing = token.isNull() | (token == ".")
-    good = number.isNotNull() & ~F.isnan(number) & number.between(0.0, 2.0) & token.rlike(r"\A[+-]?[0-9.]+(?:[eE][+-]?[0-9]+)?\z")
-    error = F.when(~missing & ~F.coalesce(good, F.lit(False)), F.concat(F.lit(tag(InvalidSourceError, "invalid dosage ")), token))
-    return F.struct(F.when(~missing & F.coalesce(good, F.lit(False)), number).alias("value"), error.alias("error"))
+    number = F.when(token.rlike(r"\A[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z"), token.try_cast("float"))
+    good = F.coalesce(number.between(0.0, 2.0), F.lit(False))
+    missing = F.coalesce(token == ".", F.lit(False))
+    error = F.when(~missing & ~good, F.concat(F.lit(tag(InvalidSourceError, "invalid dosage ")), F.coalesce(token, F.lit("(absent)"))))
+    return F.struct(F.when(good, number).alias("value"), error.alias("error"))
 
 
 def expected_dosage(p_aa: Column, p_ab: Column) -> Column:

@@ -95,10 +95,10 @@ def apply_missing(wide: DataFrame, policy: str = "nan", calls: str = "calls", ke
     raise InvalidOptionError(f"unknown missing-data policy {policy!r}")
 
 
-def read_variants(wide: DataFrame, expr: FilterExpr | None, policy: str = "nan", calls: str = "calls", failed: str | None = None) -> DataFrame:
+def read_variants(wide: DataFrame, expr: FilterExpr | None, policy: str = "nan", calls: str = "calls", failed: str | None = None, counted: str | None = None) -> DataFrame:
     """Variants that pass the filter, under a missing-data policy that fails for these alone.
 
-    ``failed`` names a column with the text of a decoding error, null where there is
+    Statistics are those of the column ``counted``, or else of ``calls``.  ``failed`` names a column with the text of a decoding error, null where there is
     none; it too fails only for variants that pass.
     """
     node = simplify(expr)
@@ -107,7 +107,7 @@ def read_variants(wide: DataFrame, expr: FilterExpr | None, policy: str = "nan",
     first = needed(node)
     rows = wide.where(to_column(first)) if first.kind != "yes" else wide
     if uses_stats(node):
-        rows = with_stats(rows, calls)
+        rows = with_stats(rows, counted or calls)
     kept = to_column(node)
     if failed:
         error = F.raise_error(F.col(failed)).cast(rows.schema[calls].dataType)
