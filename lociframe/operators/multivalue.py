@@ -70,7 +70,7 @@ def delimiter_ranks(scores: DataFrame) -> DataFrame:
 
 def read_quoted(text: str, field: str) -> list[str]:
     """Values of a text by the grammar: quoted ones without their quotes, and runs of value characters."""
-    found = re.finditer(r"\"([^\"]*(?:\"\"[^\"]*)*)\"|'([^']*(?:''[^']*)*)'|(" + value_class(field) + "+)", text)
+    found = re.finditer(r"\"([^\"]*+(?:\"\"[^\"]*+)*+)\"|'([^']*+(?:''[^']*+)*+)'|(" + value_class(field) + "+)", text)
     out = []
     for m in found:
         if m[1] is not None:
@@ -92,7 +92,8 @@ def packed_values(rows: DataFrame, fields: tuple[str, ...] = ("id", "alt_allele"
 
     ``rows`` has ``variant_idx``, ``source_format`` and the fields.  Null fields hold
     nothing; a null source is a source of its own; repeated rows come out each;
-    texts of any length are read whole.  An unclosed quote only parts values.
+    texts of any length are read whole.  Within quotes a doubled quote always stands
+    for one; an unclosed quote only parts values.
     """
     long = _long(rows, fields)
     plain = long.where(~F.col("packed").rlike(QUOTES))
