@@ -105,6 +105,8 @@ def longest_span(a: list[str], b: list[str], hits) -> tuple[int, int]:
     best = (0, 0)
     done: set[tuple[int, int]] = set()
     for i, j in hits:
+        if i >= len(a) or j >= len(b) or a[i] != b[j]:
+            continue  # a hit of another text under the same id, or of another word with the same hash
         lo = 0
         while i - lo > 0 and j - lo > 0 and a[i - lo - 1] == b[j - lo - 1]:
             lo += 1

@@ -6,6 +6,8 @@ different values is bounded.  Null texts are measured as empty ones.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import regex
 
 #: Names of the measures in order.
@@ -40,7 +42,7 @@ _RULE_LINE = regex.compile(r"^[\s|+=:─━┼├┤┌┐└┘│-]{3,}$")
 _CELL_GAP = regex.compile(r"\s{2,}")
 _DATA = regex.compile(r"^[<>≈~±+-]?[\d.,]*\d[\d.,]*\s*(?:%|‰|[€$£]|\p{L}{1,3})?$")
 _MACHINE = regex.compile(
-    r"</?\p{L}[^<>\n]*>|<!--.*?-->|\{\{[^{}\n]*\}\}|\$\{[^{}\n]*\}|&(?:\p{L}+|#\d+);|%[0-9A-Fa-f]{2}|\\(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2}|[nrt])"
+    r"</?\p{L}[^<>\n]*>|<!--(?:(?!<!--)[^\n])*?-->|\{\{[^{}\n]*\}\}|\$\{[^{}\n]*\}|&(?:\p{L}+|#\d+);|%[0-9A-Fa-f]{2}|\\(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2}|[nrt])"
     r"|\b0x[0-9A-Fa-f]+\b|\[object \p{L}+\]|\b(?:undefined|NaN|null|NULL|None)\b|\bERR_?\w*\d+\b|\bat \S+ \(\S*:\d+(?::\d+)?\)"
 )
 _GARBLED = regex.compile(r"Ã[\u0080-¿Œ-ƒˆ˜–-™]|Â[\u0080-¿]|â€[\u0080-¿Œ-ƒˆ˜–-™]?|ï¿½|�")
@@ -81,7 +83,7 @@ def table_shape(lines: list[str]) -> tuple[int, int]:
             continue
         n = max(counts, key=lambda k: (counts[k], k))
         cells = [c for row in rows if len(row) == n for c in row]
-        data = sum(c.lower() in EMPTY_CELLS or bool(_DATA.match(c)) for c in cells)
+        data = sum(len(c) <= 40 and (c.lower() in EMPTY_CELLS or bool(_DATA.match(c))) for c in cells)
         best = max(best, (_per_mille(counts[n] + sum(ruled), len(lines)), _per_mille(data, len(cells))), key=lambda b: (min(b[0], 500), b[1], b[0]))
     return best
 
@@ -119,10 +121,7 @@ def measure(text: str | None) -> tuple[int, ...]:
     else:
         common = _per_mille(sum(w in _COMMON for w in words), n)
     row_share, cell_share = table_shape(lines) if len(lines) > 1 else (0, 0)
-    counts: dict[str, int] = {}
-    for c in text:
-        counts[c] = counts.get(c, 0) + 1
-    top = max((k for c, k in counts.items() if not c.isspace()), default=0)
+    top = max((k for c, k in Counter(text).items() if not c.isspace()), default=0)
     repeated = max((sum(a == b for a, b in zip(words, words[step:])) for step in (1, 2, 3)), default=0) if n > 3 else 0
     odd = sum(bool(_MIXED.search(w)) or (len(w) > 2 and bool(_LATIN.match(w.lower())) and bool(_CLUSTER.search(w.lower()))) for w in found)
     return (
@@ -130,7 +129,7 @@ def measure(text: str | None) -> tuple[int, ...]:
         int(10 * sum(map(len, words)) // n) if n else 0,
         _per_mille(symbols, signs),
         _per_mille(digits, signs),
-        _per_mille(sum(bool(_ENDED.search(line)) for line in lines), len(lines)),
+        _per_mille(sum(bool(_ENDED.search(line.rstrip()[-32:])) for line in lines), len(lines)),
         common,
         len(lines),
         _per_mille(sum(map(is_entry, lines)), len(lines)),
