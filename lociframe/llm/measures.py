@@ -7,6 +7,7 @@ different values is bounded.  Null texts are measured as empty ones.
 from __future__ import annotations
 
 from collections import Counter
+from operator import eq
 
 import regex
 
@@ -30,7 +31,6 @@ _COMMON = frozenset(w for words in COMMON_WORDS.values() for w in words.split())
 EMPTY_CELLS = frozenset(["", "-", "–", "—", "n/a", "na", "none", "?", "x", "."])
 
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:['’][\p{L}\p{M}]+)*")
-_LETTER = regex.compile(r"[\p{L}\p{M}]")
 _SYMBOL = regex.compile(r"[^\p{L}\p{M}\p{N}\s]")
 _DIGIT = regex.compile(r"\p{N}")
 _SPACED_OUT = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}ー]")
@@ -69,11 +69,13 @@ def _cells(line: str, separator: str) -> list[str]:
 
 
 def table_shape(lines: list[str]) -> tuple[int, int]:
-    """Shares of lines that are rows of the same number of cells, and of cells that hold data."""
+    """Shares of lines that are rows of the same number of cells, two lines at least, and of cells that hold data."""
     ruled = [bool(_RULE_LINE.match(line)) for line in lines]
     body = [line for line, r in zip(lines, ruled) if not r]
     best = (0, 0)
     for separator in (*_SEPARATORS, " "):
+        if sum(separator in line if separator != " " else "  " in line or "\t" in line for line in body) < 2:
+            continue
         rows = [_cells(line, separator) for line in body]
         counts: dict[int, int] = {}
         for row in rows:
@@ -106,6 +108,44 @@ def is_entry(line: str) -> bool:
     return len(words) <= 4 and common <= 1 and not (bare[-1:] in "!?" or (bare[-1:] == "." and common))
 
 
+_KINDS: dict[str, str] = {}
+
+
+def _kind(c: str) -> str:
+    """Space, symbol, digit, kana, other letters written without spaces, or any other letter; remembered."""
+    if len(_KINDS) > 100_000:
+        _KINDS.clear()
+    if c.isspace():
+        kind = " "
+    elif _SYMBOL.match(c):
+        kind = "s"
+    elif _DIGIT.match(c):
+        kind = "d"
+    else:
+        kind = ("k" if _KANA.match(c) else "w") if _SPACED_OUT.match(c) else "l"
+    _KINDS[c] = kind
+    return kind
+
+
+_ODD: dict[str, bool] = {}
+
+
+def _odd(word: str) -> bool:
+    """Whether a word mixes letters, digits and cases, or holds letters no word has side by side; remembered."""
+    if len(_ODD) > 300_000:
+        _ODD.clear()
+    low = word.lower()
+    out = bool(_MIXED.search(word)) or (len(word) > 2 and bool(_LATIN.match(low)) and bool(_CLUSTER.search(low)))
+    if len(word) < 64:
+        _ODD[word] = out
+    return out
+
+
+#: Signs of which machine residue has at least one, beside names and hexadecimal numbers.
+_MACHINE_SIGNS = frozenset("<{&%\\[(_")
+_MACHINE_NAMES = ("0x", "undefined", "NaN", "null", "NULL", "None", "ERR")
+
+
 def measure(text: str | None) -> tuple[int, ...]:
     """The measures named in NAMES; 0 where there is nothing to measure."""
     text = text or ""
@@ -113,22 +153,34 @@ def measure(text: str | None) -> tuple[int, ...]:
     found = _WORD.findall(text)
     words = [w.lower() for w in found]
     n = len(words)
-    signs = sum(not c.isspace() for c in text)
-    wide = _SPACED_OUT.findall(text)
-    symbols, digits = len(_SYMBOL.findall(text)), len(_DIGIT.findall(text))
-    if len(wide) * 2 > signs:
-        common = _per_mille(len(_KANA.findall(text)), len(wide))
+    counts = Counter(text)
+    kinds = dict.fromkeys(" sdkwl", 0)
+    top = 0
+    for c, k in counts.items():
+        kind = _KINDS.get(c) or _kind(c)
+        kinds[kind] += k
+        if kind != " " and k > top:
+            top = k
+    signs = len(text) - kinds[" "]
+    wide = kinds["k"] + kinds["w"]
+    if wide * 2 > signs:
+        common = _per_mille(kinds["k"], wide)
     else:
         common = _per_mille(sum(w in _COMMON for w in words), n)
     row_share, cell_share = table_shape(lines) if len(lines) > 1 else (0, 0)
-    top = max((k for c, k in Counter(text).items() if not c.isspace()), default=0)
-    repeated = max((sum(a == b for a, b in zip(words, words[step:])) for step in (1, 2, 3)), default=0) if n > 3 else 0
-    odd = sum(bool(_MIXED.search(w)) or (len(w) > 2 and bool(_LATIN.match(w.lower())) and bool(_CLUSTER.search(w.lower()))) for w in found)
+    repeated = max((sum(map(eq, words, words[step:])) for step in (1, 2, 3)), default=0) if n > 3 else 0
+    odd = 0
+    for w in found:
+        known = _ODD.get(w)
+        odd += _odd(w) if known is None else known
+    long = sum(map(len, _LONG.findall(text))) if max(map(len, text.split()), default=0) >= 24 else 0
+    machine = sum(len(m) for m in _MACHINE.findall(text)) if not _MACHINE_SIGNS.isdisjoint(counts) or any(name in text for name in _MACHINE_NAMES) else 0
+    garbled = 0 if text.isascii() else sum(len(m) for m in _GARBLED.findall(text))
     return (
         n,
         int(10 * sum(map(len, words)) // n) if n else 0,
-        _per_mille(symbols, signs),
-        _per_mille(digits, signs),
+        _per_mille(kinds["s"], signs),
+        _per_mille(kinds["d"], signs),
         _per_mille(sum(bool(_ENDED.search(line.rstrip()[-32:])) for line in lines), len(lines)),
         common,
         len(lines),
@@ -138,9 +190,8 @@ def measure(text: str | None) -> tuple[int, ...]:
         _per_mille(top, signs),
         _per_mille(repeated, n),
         _per_mille(odd, n),
-        _per_mille(sum(map(len, _LONG.findall(text))), signs),
-        _per_mille(sum(len(m) for m in _MACHINE.findall(text)), len(text)),
-        _per_mille(sum(len(m) for m in _GARBLED.findall(text)), len(text)),
+        _per_mille(long, signs),
+        _per_mille(machine, len(text)),
+        _per_mille(garbled, len(text)),
         signs,
     )
-
