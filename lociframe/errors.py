@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 
 class SourceResolutionError(Exception):
     """A path can't be used as a genotype source."""
@@ -20,7 +22,15 @@ class InvalidSourceError(SourceResolutionError):
 
 
 class UnsupportedRepresentation(Exception):
-    """The source has no such kind of values."""
+    """The source has no such kind of values.
+
+    ``counted`` holds the values per sample where those could be read, as statistics
+    may still drop the variant.
+    """
+
+    def __init__(self, message: str, counted=None):
+        super().__init__(message)
+        self.counted = counted
 
 
 class InvalidOptionError(ValueError):
@@ -49,9 +59,8 @@ def tag(kind: type[Exception], message: str) -> str:
 
 def untagged(error: BaseException) -> BaseException:
     """The error named in the message of one that came from an executor, or the error itself."""
-    import re
-
-    found = re.search(r"\[\[(\w+)\]\] ([^\n]*)", str(error))
+    text = str(error)
+    found = re.search(r"\[\[(\w+)\]\] ([^\n]*)", text) or re.search(r"lociframe\.errors\.(\w+): ([^\n]*)", text)
     if found and found[1] in TAGGED:
         return TAGGED[found[1]](found[2].strip())
     return error

@@ -11,10 +11,10 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociframe.errors import InvalidOptionError, MissingDataError, SampleFilterError, tag
+from lociframe.errors import InvalidOptionError, InvalidSourceError, MissingDataError, SampleFilterError, tag
 from lociframe.filters import FilterExpr
 from lociframe.functions.alleles import STAT_COLUMNS, with_stats
-from lociframe.plans.joins import BROADCAST_ROWS, within
+from lociframe.plans.joins import BROADCAST_ROWS, sized_join, within
 from lociframe.plans.ordinals import with_ordinal, with_running_sum
 from lociframe.plans.predicates import NO, needed, simplify, to_column, uses_stats
 
@@ -58,6 +58,25 @@ def keep_variants(wide: DataFrame, expr: FilterExpr | None, calls: str = "calls"
     return with_stats(rows, calls).where(to_column(node)) if uses_stats(node) else rows
 
 
+def keep_ids(variants: DataFrame, ids: DataFrame, negate: bool = False) -> DataFrame:
+    """Variants whose ``id`` is (or, negated, isn't) in a table of IDs of any size.
+
+    A null ID is in no table, so it goes only through the negation.
+    """
+    wanted = ids.select("id").where(F.col("id").isNotNull()).distinct()
+    return sized_join(variants, wanted, "id", "left_anti" if negate else "left_semi")
+
+
+def keep_cells(cells: DataFrame, samples: DataFrame) -> DataFrame:
+    """Long cells of the samples listed, once each however often a sample is listed."""
+    return sized_join(cells, samples.select("sample_idx").distinct(), "sample_idx", "left_semi")
+
+
+def write_cohort(wide: DataFrame, path: str) -> None:
+    """Write wide rows as parquet, sorted by place within ranges of places, so that filters by place skip row groups."""
+    wide.repartitionByRange("chrom", "pos").sortWithinPartitions("chrom", "pos", "variant_idx").write.parquet(path)
+
+
 def without_stats(wide: DataFrame) -> DataFrame:
     return wide.drop(*STAT_COLUMNS)
 
@@ -107,12 +126,16 @@ def read_variants(wide: DataFrame, expr: FilterExpr | None, policy: str = "nan",
     rows = wide.where(to_column(first)) if first.kind != "yes" else wide
     if uses_stats(node):
         rows = with_stats(rows, counted or calls)
-    kept = to_column(node)
+    kept = judged = to_column(node)
     if failed:
+        if uses_stats(node):
+            uncounted = to_column(first) & F.col("__failed").startswith(tag(InvalidSourceError, ""))
+            judged = F.when(uncounted, F.raise_error(F.col("__failed")).cast("boolean")).otherwise(kept)
+        rows = rows.withColumn("__failed", F.col(failed))
         error = F.raise_error(F.col(failed)).cast(rows.schema[calls].dataType)
         rows = rows.withColumn(calls, F.when(kept & F.col(failed).isNotNull(), error).otherwise(F.col(calls))).drop(failed)
     rows = apply_missing(rows, policy, calls, kept)
-    return without_stats(rows.where(kept))
+    return without_stats(rows.where(judged)).drop("__failed")
 
 
 def orient_minor(wide: DataFrame, calls: str = "calls", most: int = 2) -> DataFrame:

@@ -133,6 +133,23 @@ def mac_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_call_stats(spark, sf_dir, typed_variants(spark, sf_dir).select("variant_idx")).select("variant_idx", whole_mac().alias("mac"))
 
 
+@query("ids_semi_join", "SELECT variant_idx, chrom, pos, id, a0, a1 FROM variants WHERE id IN (SELECT id FROM variants WHERE qual >= 80)")
+def ids_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    variants = typed_variants(spark, sf_dir)
+    return ops.keep_ids(variants.select(*FRAME), variants.where(F.col("qual") >= 80)).select(*FRAME)
+
+
+@query("ids_anti_join", "SELECT variant_idx, chrom, pos, id, a0, a1 FROM variants WHERE id NOT IN (SELECT id FROM variants WHERE qual >= 80)")
+def ids_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    variants = typed_variants(spark, sf_dir)
+    return ops.keep_ids(variants.select(*FRAME), variants.where(F.col("qual") >= 80), negate=True).select(*FRAME)
+
+
+@query("sample_keep_semi_join", "SELECT variant_idx, sample_idx, value FROM (SELECT variant_idx, sample_idx, max(CASE WHEN NOT isnan(dosage) THEN dosage::DOUBLE END) AS value FROM calls GROUP BY ALL) WHERE sample_idx IN (SELECT sample_idx FROM samples WHERE sex IN ('2', 'F'))")
+def sample_keep_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.keep_cells(cells(spark, sf_dir), table(spark, sf_dir, "samples").where(F.col("sex").isin("2", "F")))
+
+
 @query("sample_call_counts", "SELECT sample_idx, count(*)::BIGINT AS n_cells, count(value)::BIGINT AS n_called FROM (SELECT variant_idx, sample_idx, max(CASE WHEN NOT isnan(dosage) THEN dosage END) AS value FROM calls GROUP BY ALL) GROUP BY 1")
 def sample_call_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells(spark, sf_dir).groupBy("sample_idx").agg(F.count("*").alias("n_cells"), F.count("value").alias("n_called"))

@@ -155,7 +155,7 @@ def values(fields: dict, n_samples: int, kind: str, dosage: str, keep: np.ndarra
         if (present != 2).any() or (first_two > 1).any():
             raise InvalidSourceError("a BCF genotype isn't a diploid call of two alleles")
         if not phased[:, 1].all():
-            raise UnsupportedRepresentation("a BCF genotype isn't phased")
+            raise UnsupportedRepresentation("a BCF genotype isn't phased", np.where(missing, NAN, first_two.sum(axis=1)).astype(np.float32))
         each = np.where(first_two < 0, NAN, first_two).astype(np.float32)
         return each.reshape(-1), np.where(missing, NAN, first_two.sum(axis=1)).astype(np.float32)
     if ((present != 2) & ~missing).any() or ((first_two > 1).any(axis=1) & ~missing).any():

@@ -171,8 +171,6 @@ def values(block: bytes, n_samples: int, kind: str, keep: np.ndarray) -> tuple[n
         p = pairs / float(most)
         total = np.clip(2.0 - p[:, 0] - p[:, 1], 0, 2).astype(np.float32)
     else:
-        if kind == "haplo":
-            raise UnsupportedRepresentation("the BGEN variant isn't phased")
         aa, ab = (pairs[:, k].astype(np.float32) / np.float32(most) for k in (0, 1))
         bb = np.float32(1) - aa - ab
         total = ab + np.float32(2) * bb
@@ -182,5 +180,7 @@ def values(block: bytes, n_samples: int, kind: str, keep: np.ndarray) -> tuple[n
     total = np.where(gone, NAN, total).astype(np.float32)
     if kind == "geno":
         return total[keep], total[keep]
+    if not phased:
+        raise UnsupportedRepresentation("the BGEN variant isn't phased", total[keep])
     each = np.where(gone[:, None], NAN, np.clip(1.0 - p, 0, 1)).astype(np.float32)
     return each[keep].reshape(-1), total[keep]

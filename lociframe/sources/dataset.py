@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from lociframe.errors import InvalidOptionError, InvalidSourceError, MissingDataError, SampleFilterError, UnsupportedRepresentation, untagged
 from lociframe.filters import FilterExpr, as_filter
+from lociframe.functions.alleles import with_stats
 from lociframe.operators import cohort as ops
-from lociframe.plans.predicates import NO, concrete_region, simplify
+from lociframe.plans.predicates import NO, concrete_region, simplify, uses_stats
 from lociframe.sources import bcf, bgen, plink, resolve, vcf
 from lociframe.sources.datasource import register
 from lociframe.streaming.blocks import BlockIterator
@@ -204,7 +205,7 @@ class Dataset:
         if self.source.format == "vcf":
             indexed = region if self.source.path.suffix in (".gz", ".bgz") else None
             typed = vcf.variants(vcf.lines(self.spark, self.source.path, indexed), str(self.source.path))
-            wide = vcf.with_calls(typed, list(range(len(self.sample_rows()))) if places is None else places, o.kind, o.dosage)
+            wide = vcf.with_calls(typed, list(range(len(self.sample_rows()))) if places is None else places, o.kind, o.dosage, uses_stats(node))
         else:
             wide = self._load({"kind": o.kind, "dosage": o.dosage, "keep": places})
             if region:
@@ -214,6 +215,23 @@ class Dataset:
             wide = ops.orient_minor(wide, most=1 if o.kind == "haplo" else 2)
         return wide.select("variant_idx", *ops.VARIANT_COLUMNS, "calls")
 
+    def stats(self, **options: Any) -> DataFrame:
+        """Retained variants with the allele statistics of the selected samples."""
+        return with_stats(self.frame(**options)).drop("calls")
+
+    def diagnostics(self, **options: Any) -> DataFrame:
+        """One row: samples and variants offered, retained and dropped."""
+        o = ReadOptions(**options).checked()
+        places = self._places(o.samples)
+        n = len(self.sample_rows())
+        return ops.diagnostics(self.variant_table(), self._frame(o, places), n, n if places is None else len(places))
+
+    def create_views(self, prefix: str, **options: Any) -> None:
+        """Temporary views ``<prefix>_samples``, ``<prefix>_variants`` and ``<prefix>_calls`` for SQL."""
+        self.sample_table().createOrReplaceTempView(f"{prefix}_samples")
+        self.variant_table().createOrReplaceTempView(f"{prefix}_variants")
+        self.frame(**options).createOrReplaceTempView(f"{prefix}_calls")
+
     def samples_frame(self, o: ReadOptions, places: list[int] | None) -> pd.DataFrame:
         rows = [self.sample_rows()[k] for k in (range(len(self.sample_rows())) if places is None else places)]
         frame = pd.DataFrame(rows, columns=list(ops.SAMPLE_COLUMNS), dtype=object)

@@ -14,7 +14,6 @@ from __future__ import annotations
 import bisect
 import json
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -69,7 +68,8 @@ class _Rows:
             try:
                 calls, counted = decode()
             except (InvalidSourceError, UnsupportedRepresentation) as e:
-                error = tag(type(e), str(e))
+                error, counted = tag(type(e), str(e)), getattr(e, "counted", None)
+                counted = none if counted is None else counted
         self.meta.append((number, *meta))
         self.calls.append(calls)
         self.counted.append(counted)
@@ -181,29 +181,30 @@ class Plink1Reader(WideReader):
 class Plink2Reader(WideReader):
     """PGEN records with their PVAR lines.
 
-    Tasks begin at records that don't refer back.  A compressed PVAR file can't be
-    entered in the middle, so each task passes over the lines before its own.
+    Tasks begin at records that don't refer back, and at the byte of their first
+    PVAR line.  A compressed PVAR file can't be entered in the middle, so each task
+    passes over the lines before its own.
     """
 
     def partitions(self) -> list[Span]:
         h = plink.pgen_header(self.files["pgen"])
         n = len(plink.read_psam(self.files["psam"]))
-        n_lines = sum(1 for _ in plink.pvar_body(self.files["pvar"]))
         if n != h.n_samples:
             raise InvalidSourceError(f"the PGEN file has {h.n_samples} samples, but the PSAM file {n}")
-        if n_lines != h.n_variants:
-            raise InvalidSourceError(f"the PGEN file has {h.n_variants} variants, but the PVAR file {n_lines}")
         starts = list(range(0, h.n_variants, PART_VARIANTS))
         if h.types is not None:
             fresh = np.flatnonzero((h.types & 6) != 2)
             starts = sorted({int(fresh[np.searchsorted(fresh, s, side="right") - 1]) for s in starts})
-        return [Span(a, b) for a, b in zip(starts, [*starts[1:], h.n_variants]) if a < b]
+        header, places, n_lines = plink.pvar_places(self.files["pvar"], starts)
+        if n_lines != h.n_variants:
+            raise InvalidSourceError(f"the PGEN file has {h.n_variants} variants, but the PVAR file {n_lines}")
+        return [Span(a, b, header=header, place=p) for a, b, p in zip(starts, [*starts[1:], h.n_variants], places) if a < b]
 
     def variants(self, span: Span) -> Iterator[tuple]:
         h = plink.pgen_header(self.files["pgen"])
         reader, keep = plink.PgenReader(h), self.kept(h.n_samples)
         with open(self.files["pgen"], "rb") as f:
-            for number, meta in zip(range(span.first, span.last), islice(plink.pvar_body(self.files["pvar"]), span.first, span.last)):
+            for number, meta in zip(range(span.first, span.last), plink.pvar_from(self.files["pvar"], span.places["header"], span.places["place"])):
                 start, end = (h.first + number * h.width(), h.first + (number + 1) * h.width()) if h.types is None else h.offsets[number : number + 2]
                 record = None
                 if self.with_calls:  # rejected records too: later ones may refer to them

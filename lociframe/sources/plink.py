@@ -150,18 +150,59 @@ def parse_pvar(line: str, at: dict[str, int], path: str = "") -> tuple:
     return f[at["CHROM"]], _position(f[at["POS"]], path), f[at["ID"]], f[at["REF"]], alt.split(",")[0], f[at["REF"]], alt, qual
 
 
-def pvar_body(path: str) -> Iterator[tuple]:
-    """The variants of a PVAR file in order."""
-    header, at = None, None
-    for line in _lines(path):
-        if not line.strip() or line.startswith("##"):
-            continue
-        if line.startswith("#") and at is None and header is None:
-            header = line
+def pvar_places(path: str, starts: list[int]) -> tuple[str | None, list[int], int]:
+    """The header line, the byte places of the variants numbered ``starts``, and the number of variants.
+
+    Lines are only counted, not parsed.  Places in a compressed file are those in
+    its content.
+    """
+    header, places, n, at = None, [], 0, 0
+    wanted = iter(starts)
+    following = next(wanted, None)
+    for raw in _raw_lines(path):
+        if raw.strip() and not raw.startswith(b"##"):
+            if raw.startswith(b"#") and header is None and n == 0:
+                header = raw.decode().rstrip("\r\n")
+            else:
+                if n == following:
+                    places.append(at)
+                    following = next(wanted, None)
+                n += 1
+        at += len(raw)
+    return header, places, n
+
+
+def _raw_lines(path: str) -> Iterator[bytes]:
+    with open(path, "rb") as raw:
+        if path.endswith(".zst"):
+            import zstandard
+
+            with zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True) as f:
+                yield from io.BufferedReader(f)
+        else:
+            yield from raw
+
+
+def pvar_from(path: str, header: str | None, place: int) -> Iterator[tuple]:
+    """Variants from a byte place on; a compressed file is passed over up to there."""
+    if path.endswith(".zst"):
+        lines, at = _raw_lines(path), 0
+        while at < place:
+            at += len(next(lines))
+    else:
+        f = open(path, "rb")  # noqa: SIM115
+        f.seek(place)
+        lines = f
+    layout = None
+    for raw in lines:
+        if not raw.strip() or raw.startswith(b"##"):
             continue
-        if at is None:
-            at = pvar_layout(header, len(line.split()))
-        yield parse_pvar(line, at, path)
+        line = raw.decode().rstrip("\r\n")
+        if layout is None:
+            layout = pvar_layout(header, len(line.split()))
+        yield parse_pvar(line, layout, path)
+    if lines is not None and hasattr(lines, "close"):
+        lines.close()
 
 
 # ---- PLINK 2: PGEN ----
@@ -430,9 +471,9 @@ def pgen_values(d: Decoded, kind: str, dosage: str, keep: np.ndarray) -> tuple[n
         return total[keep], total[keep]
     if dosage == "hardcall":
         if d.stored is not None:
-            raise UnsupportedRepresentation("haplotypes of hard calls can't be read from records with dosages")
+            raise UnsupportedRepresentation("haplotypes of hard calls can't be read from records with dosages", hard[keep])
         if d.phase is None:
-            raise UnsupportedRepresentation("the record has no phases")
+            raise UnsupportedRepresentation("the record has no phases", hard[keep])
     phase = np.full(len(hard), -1, dtype=np.int8) if d.phase is None else d.phase
     pairs = np.stack([hard / 2, hard / 2], axis=1).astype(np.float32)
     het = d.codes == 1
@@ -451,5 +492,5 @@ def pgen_values(d: Decoded, kind: str, dosage: str, keep: np.ndarray) -> tuple[n
         pairs[stored & np.isnan(total)] = NAN
         open_ |= implied & (phase < 0)
     if open_[keep].any():
-        raise UnsupportedRepresentation("a selected heterozygote has no phase")
+        raise UnsupportedRepresentation("a selected heterozygote has no phase", total[keep])
     return pairs[keep].reshape(-1), total[keep]

@@ -46,7 +46,12 @@ def lines(spark: SparkSession, path: Path, region: tuple[str, int, int] | None =
         raise InvalidSourceError(f"{path} isn't blocked")
     else:
         rows = spark.read.text(str(path)).select(F.monotonically_increasing_id().alias("variant_idx"), F.col("value").alias("line"))
-    return rows.where(~F.col("line").startswith("#") & (F.trim("line") != ""))
+    return rows.where(is_record())
+
+
+def is_record() -> Column:
+    """Whether a line is neither blank nor part of the header."""
+    return ~F.col("line").startswith("#") & (F.trim("line") != "")
 
 
 def _at(k: int) -> Column:
@@ -55,7 +60,8 @@ def _at(k: int) -> Column:
 
 def variants(rows: DataFrame, path: str) -> DataFrame:
     """Typed variants of lines, with their split fields ``f`` and ``error`` for lines without alleles."""
-    cut = rows.select("variant_idx", F.split("line", "\t", -1).alias("f"))
+    # filters may be planned in any order, so what raises looks itself at whether the line is a record
+    cut = rows.select("variant_idx", F.split("line", "\t", -1).alias("f"), is_record().alias("is_record"))
     alt = _at(4)
     first = F.split_part(alt, F.lit(","), F.lit(1))
     position = _at(1).try_cast("bigint")
@@ -63,7 +69,7 @@ def variants(rows: DataFrame, path: str) -> DataFrame:
     error = F.when(broken | (F.coalesce(_at(0), F.lit("")) == ""), tag(InvalidSourceError, f"{path}: a line has no chromosome and position")).when(
         F.coalesce(first, F.lit("")) == "", F.concat(F.lit(tag(InvalidSourceError, f"{path}: fewer than two alleles at ")), _at(0), F.lit(":"), _at(1))
     )
-    good = F.when(error.isNotNull(), F.raise_error(error).cast("string")).otherwise(_at(0))
+    good = F.when(F.col("is_record") & error.isNotNull(), F.raise_error(error).cast("string")).otherwise(_at(0))
     name = F.split_part(_at(2), F.lit(";"), F.lit(1))
     return cut.select(
         "variant_idx", good.alias("chrom"), position.alias("pos"), F.when(F.coalesce(name, F.lit("")) == "", ".").otherwise(name).alias("id"),
@@ -71,8 +77,12 @@ def variants(rows: DataFrame, path: str) -> DataFrame:
     )
 
 
-def with_calls(rows: DataFrame, places: list[int], kind: str, dosage: str) -> DataFrame:
-    """Add ``calls``, ``counted`` (the values per sample) and ``error`` for the samples at ``places``."""
+def with_calls(rows: DataFrame, places: list[int], kind: str, dosage: str, to_count: bool = False) -> DataFrame:
+    """Add ``calls``, ``counted`` (the values per sample) and ``error`` for the samples at ``places``.
+
+    A haplotype may be missing alone, but such a genotype can't be counted; with
+    ``to_count`` it is an error.
+    """
     key = "DS" if dosage == "dosage" else "GT"
     keyed = rows.withColumn("key_at", key_place(_at(8), key))
     fields = F.transform(F.array(*map(F.lit, places)), lambda i: sample_value(F.get(F.col("f"), i + 9), F.col("key_at"))) if places else F.array().cast("array<string>")
@@ -82,6 +92,9 @@ def with_calls(rows: DataFrame, places: list[int], kind: str, dosage: str) -> Da
     several = F.concat(F.lit(tag(InvalidSourceError, "several alternate alleles at ")), F.col("chrom"), F.lit(":"), F.col("pos").cast("string"))
     first = F.get(F.filter(F.transform("read", lambda r: r["error"]), lambda e: e.isNotNull()), F.lit(0))
     error = F.when(F.contains("alt_allele", F.lit(",")), several).when(F.coalesce(F.col("key_at"), F.lit(0)) == 0, absent).otherwise(first)
+    if kind == "haplo" and to_count:
+        halves = F.exists("read", lambda r: r["first"].isNull() != r["second"].isNull())
+        error = F.when(error.isNull() & halves, F.concat(F.lit(tag(InvalidSourceError, "a half-missing genotype can't be counted at ")), F.col("chrom"), F.lit(":"), F.col("pos").cast("string"))).otherwise(error)
     if kind == "haplo":
         calls = F.flatten(F.transform("read", lambda r: F.array(r["first"], r["second"])))
         counted = F.transform("read", lambda r: r["first"] + r["second"])

@@ -340,3 +340,73 @@ def test_bgen_phased_probabilities(spark, tmp_path, n_bits, pack_missing):
     np.testing.assert_allclose(d.read(kind="haplo", dosage="dosage")[:, 0], [1, 0, NAN, NAN, 1 - a, 1 - b], rtol=1e-6)
     np.testing.assert_allclose(d.read(dosage="dosage")[:, 0], [1, NAN, 2 - a - b], rtol=1e-6)
     assert [r.iid for r in d.samples().collect()] == ["A", "B", "C"]
+
+
+def test_statistics_diagnostics_and_views(cohort, spark):
+    got = {r.id: (r.n_called, r.mac) for r in cohort.stats(variants=L.chrom("1")).collect()}
+    assert got == {"rs1": (3, 3.0), "rs2": (3, 3.0)}
+    row = cohort.diagnostics(variants=L.chrom("1"), samples=["S1"]).first()
+    assert tuple(row) == (4, 1, 4, 2, 2)
+    cohort.create_views("c")
+    assert spark.sql("SELECT count(*) FROM c_calls JOIN c_variants USING (variant_idx), c_samples").first()[0] == 16
+
+
+def test_cohorts_are_written_for_skipping(cohort, spark, tmp_path):
+    from lociframe.operators.cohort import write_cohort
+
+    write_cohort(cohort.frame(), f"{tmp_path}/cohort")
+    back = spark.read.parquet(f"{tmp_path}/cohort").where("chrom = '2' and pos >= 35")
+    assert [r.id for r in back.collect()] == ["rs4"]
+    assert "PushedFilters: [IsNotNull(chrom), IsNotNull(pos), EqualTo(chrom,2), GreaterThanOrEqual(pos,35)" in back._jdf.queryExecution().executedPlan().toString()
+
+
+def test_positions_are_pushed_into_the_source(spark, tmp_path):
+    d = L.bgen(w.write_bgen(tmp_path / "d.bgen", [w.bgen_block([(204, 26)])] * 2, [("1", 10, "a", "A", "G"), ("2", 20, "b", "C", "T")], ["A"]), spark)
+    plan = d.frame(dosage="dosage", variants=L.region("2:15-25"))._jdf.queryExecution().executedPlan().toString()
+    assert "chrom" in plan and "BatchScan" in plan
+    assert d.read(dosage="dosage", variants=L.region("2:15-25")).shape == (1, 1)
+
+
+def test_entry_names_every_query_once():
+    import __spark_entry__ as e
+
+    names = [n for m in e.MODULES for n in m.QUERIES]
+    assert len(names) == len(set(names)) and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_uncountable_genotypes_fail_once_statistics_are_asked_for(spark, tmp_path):
+    rows = [w.vcf_row(w.VARIANTS[0], ["0|0", "0|1"]), w.vcf_row(w.VARIANTS[3], ["0|0", "0|3"])]
+    d = L.vcf(w.write_vcf(tmp_path / "d.vcf", rows, ["A", "B"]), spark)
+    assert d.read(variants=L.chrom("1") & L.polymorphic()).shape == (2, 1)
+    with pytest.raises(L.InvalidSourceError):
+        d.read(variants=L.chrom("2") & L.maf(min=0.4))  # dropped if the bad call were missing
+    half = L.vcf(w.write_vcf(tmp_path / "h.vcf", [w.vcf_row(w.VARIANTS[0], ["0|1", ".|1"])], ["A", "B"]), spark)
+    np.testing.assert_array_equal(half.read(kind="haplo")[:, 0], [0, 1, NAN, 1])
+    with pytest.raises(L.InvalidSourceError, match="half"):
+        half.read(kind="haplo", variants=L.polymorphic())
+
+
+def test_statistics_drop_variants_before_phases_are_needed(spark, tmp_path):
+    rows = [w.vcf_row(w.VARIANTS[0], ["0/0", "0/0"]), w.vcf_row(w.VARIANTS[1], ["0|1", "1|1"])]
+    d = L.vcf(w.write_vcf(tmp_path / "d.vcf", rows, ["A", "B"]), spark)
+    assert d.read(kind="haplo", variants=L.polymorphic()).tolist() == [[0], [1], [1], [1]]
+    records = [(0x00, w.pack([0, 0])), (0x10, w.pack([1, 2]) + w.bits([0, 1]))]
+    p = L.pfile(w.write_pgen_records(tmp_path / "p", records, w.VARIANTS[:2], ["A", "B"]), spark)
+    assert p.read(kind="haplo", variants=L.polymorphic()).tolist() == [[1], [0], [1], [1]]
+    with pytest.raises(L.UnsupportedRepresentation):
+        p.read(kind="haplo")
+    b = L.bgen(w.write_bgen(tmp_path / "d.bgen", [w.bgen_block([(255, 0)]), w.bgen_block([(0, 255)], True)], w.VARIANTS[:2], ["A"]), spark)
+    assert b.read(kind="haplo", dosage="dosage", variants=L.polymorphic()).tolist() == [[1], [0]]
+
+
+def test_broken_files_raise_their_own_errors(spark, tmp_path):
+    prefix = w.write_plink1(tmp_path / "c")
+    (tmp_path / "c.bed").write_bytes((tmp_path / "c.bed").read_bytes() + b"\0")
+    with pytest.raises(L.InvalidSourceError, match="records"):
+        L.bfile(prefix, spark).read()
+    (tmp_path / "c.bed").write_bytes(b"\x6c\x1b\x00" + bytes(4))
+    with pytest.raises(L.InvalidSourceError, match="variant-major"):
+        L.bfile(prefix, spark).read()
+    path = w.write_bgen(tmp_path / "d.bgen", [w.bgen_block([(200, 100)])], w.VARIANTS[:1], ["A"])
+    with pytest.raises(L.InvalidSourceError, match="more than one"):
+        L.bgen(path, spark).read(dosage="dosage")
