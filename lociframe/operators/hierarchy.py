@@ -128,6 +128,7 @@ def hierarchy_nodes(people: DataFrame, pairs: DataFrame, links: DataFrame) -> Da
     root); ``depth`` is the largest number of links to a root on shortest ways, 0
     for a root and null if no root is above, as within a cycle.
     """
+    pairs = Workspace(pairs.sparkSession, "nodes").store(pairs.select("node", "ancestor", "links"), "pairs")
     nodes = people.select("node").where(F.col("node").isNotNull()).distinct()
     with_parents = links.select(F.col("node").alias("ancestor")).distinct().withColumn("has_parent", F.lit(True))
     marked = skew_join(pairs, with_parents, "ancestor", "left", spread_by="node")
@@ -156,6 +157,7 @@ def root_paths(pairs: DataFrame, links: DataFrame) -> DataFrame:
     ``pairs`` comes from :func:`ancestor_pairs` with paths; ``path`` is the text of
     the way from the root down to the node, parted by ``/``.
     """
+    pairs = Workspace(pairs.sparkSession, "paths").store(pairs, "pairs")
     with_parents = links.select(F.col("node").alias("ancestor")).distinct()
     tops = skew_join(pairs, with_parents, "ancestor", "left_anti", spread_by="node")
     way = F.array_join(F.reverse(F.concat(F.array("node"), "path")), "/")

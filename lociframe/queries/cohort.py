@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lociframe import filters as f
 from lociframe.functions.alleles import STAT_COLUMNS, category_count, long_stats, whole_mac, with_stats
-from lociframe.functions.calls import expected_dosage, implied_split, phased_dosage, split_dosage
+from lociframe.functions.calls import decoded_ds, decoded_gt, decoded_phased, expected_dosage, implied_split, key_place, phased_dosage, sample_value, split_dosage
 from lociframe.operators import cohort as ops
 from lociframe.plans.predicates import needed, simplify, to_column
 
@@ -387,6 +387,40 @@ def phased_dosage_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return z.select("variant_idx", "sample_idx", F.round(both[0], 9).alias("left_dosage"), F.round(both[1], 9).alias("right_dosage"), F.round(implied[0], 9).alias("implied_left"), F.round(implied[1], 9).alias("implied_right"))
 
 
+# ---- text of sample fields ----------------------------------------------------------------------
+
+_TOKENS = {"gt": "concat(if(calls is null, './.', if(calls = 0, '0/0', if(calls = 2, '1/1', if(first, '0/1', '1/0')))), ':9')", "phased": "concat('7:', if(calls is null, '.|.', if(calls = 0, '0|0', if(calls = 2, '1|1', if(first, '0|1', '1|0')))))", "ds": "concat('x:', coalesce(cast(cast(round(dosages, 3) as float) as string), '.'))"}
+
+
+def tokens(spark: SparkSession, sf_dir: str, form: str, format_text: str, key: str) -> DataFrame:
+    """The wide cohort as it stands in the sample fields of text files: one row a cell, with the token of ``key``."""
+    z = wide(spark, sf_dir).select("variant_idx", F.posexplode(F.arrays_zip("calls", "dosages", "first")).alias("at", "z")).select("variant_idx", F.col("at").cast("long").alias("sample_idx"), "z.*")
+    field = z.select("variant_idx", "sample_idx", F.expr(_TOKENS[form]).alias("field"))
+    return field.withColumn("token", sample_value(F.col("field"), key_place(F.lit(format_text), key)))
+
+
+@query("gt_tokens_decoded", E_SQL + "SELECT variant_idx, sample_idx, value FROM g")
+def gt_tokens_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens(spark, sf_dir, "gt", "GT:GQ", "GT").select("variant_idx", "sample_idx", decoded_gt(F.col("token"))["value"].alias("value"))
+
+
+@query("phased_tokens_decoded", E_SQL + "SELECT variant_idx, sample_idx, CASE WHEN value = 1 THEN (CASE WHEN x > 0 THEN 0 ELSE 1 END) ELSE value / 2 END::FLOAT AS first_allele, CASE WHEN value = 1 THEN (CASE WHEN x > 0 THEN 1 ELSE 0 END) ELSE value / 2 END::FLOAT AS second_allele FROM g")
+def phased_tokens_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = decoded_phased(F.col("token"))
+    return tokens(spark, sf_dir, "phased", "DP:GT", "GT").select("variant_idx", "sample_idx", read["first"].alias("first_allele"), read["second"].alias("second_allele"))
+
+
+@query("ds_tokens_decoded", E_SQL + "SELECT variant_idx, sample_idx, round(dosage, 3)::FLOAT AS dosage FROM g")
+def ds_tokens_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens(spark, sf_dir, "ds", "GT:DS", "DS").select("variant_idx", "sample_idx", decoded_ds(F.col("token"))["value"].alias("dosage"))
+
+
+@query("first_of_lists", "SELECT variant_idx, CASE WHEN split_part(id, ';', 1) = '' THEN '.' ELSE split_part(id, ';', 1) END AS first_id, split_part(alt_allele, ',', 1) AS first_alt, strlen(a0) AS a0_bytes FROM variants")
+def first_of_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.split_part("id", F.lit(";"), F.lit(1))
+    return typed_variants(spark, sf_dir).select("variant_idx", F.when(name == "", ".").otherwise(name).alias("first_id"), F.split_part("alt_allele", F.lit(","), F.lit(1)).alias("first_alt"), F.octet_length("a0").cast("long").alias("a0_bytes"))
+
+
 # ---- the long cohort ----------------------------------------------------------------------------
 
 
