@@ -108,7 +108,11 @@ class CopyLedger:
         return self.spark.table(self._table(self.version))
 
     def apply(self, batch: DataFrame) -> None:
-        """Add the rows ``(key, rec_id)`` of a batch."""
+        """Add the rows ``(key, rec_id)`` of a batch.
+
+        The batch is shuffled once, by key into as many parts as there are buckets
+        where the session's number of shuffle partitions is theirs.
+        """
         new = batch.groupBy("key").agg(F.count("*").alias("n_new"), F.min("rec_id").alias("id_new"))
         if self.version:
             both = self.entries().join(new, "key", "full_outer")
@@ -118,7 +122,7 @@ class CopyLedger:
                 F.least("keep_id", "id_new").alias("keep_id"),
             )
         else:
-            merged = new.select("key", F.col("n_new").alias("n_copies"), F.col("id_new").alias("keep_id")).repartition(self.buckets, "key")
+            merged = new.select("key", F.col("n_new").alias("n_copies"), F.col("id_new").alias("keep_id"))
         before, self.version = self.version, self.version + 1
         merged.write.bucketBy(self.buckets, "key").sortBy("key").option("path", self._path(self.version)).saveAsTable(self._table(self.version))
         if before:
