@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lociframe.plans import sized_join
 
@@ -99,15 +100,14 @@ def tokenize(text: pa.Array) -> tuple[pa.Array, pa.Array]:
 def _tokenize_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ok, fields = tokenize(batch.column("text"))
-        names = [*batch.schema.names, "quoted_rightly", "fields"]
-        yield pa.RecordBatch.from_arrays([*batch.columns, ok, fields], names=names)
+        others = [name for name in batch.schema.names if name != "text"]
+        yield pa.RecordBatch.from_arrays([*[batch.column(name) for name in others], ok, fields], names=[*others, "quoted_rightly", "fields"])
 
 
 def with_fields(lines: DataFrame) -> DataFrame:
-    """Add ``quoted_rightly`` and ``fields`` to rows with a column ``text``."""
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*lines.schema.fields, T.StructField("quoted_rightly", T.BooleanType()), T.StructField("fields", T.ArrayType(T.StringType()))])
+    """Rows with ``quoted_rightly`` and ``fields`` in place of their ``text``."""
+    others = [f for f in lines.schema.fields if f.name != "text"]
+    schema = T.StructType([*others, T.StructField("quoted_rightly", T.BooleanType()), T.StructField("fields", T.ArrayType(T.StringType()))])
     return lines.mapInArrow(_tokenize_batches, schema)
 
 
@@ -166,7 +166,7 @@ def parse_lines(lines: DataFrame, files: DataFrame) -> DataFrame:
     ``pos``, ``id``, ``ref``, ``alt`` and, where the file has it, ``qual``.
     """
     records = lines.select("file_id", "line_number", "text").where(F.col("text").isNotNull() & (F.trim(F.translate("text", "\t\r\n", "   ")) != "") & ~F.col("text").startswith("##"))
-    rows = sized_join(with_fields(records).drop("text"), layouts(files), "file_id", "left", spread_by="line_number")
+    rows = sized_join(with_fields(records), layouts(files), "file_id", "left", spread_by="line_number")
     typed = rows.select(
         "file_id", "line_number", "quoted_rightly", "fields", "n_fields", "at_qual",
         _field("chrom").alias("chrom"), _field("pos").alias("pos_text"), _field("id").alias("id"),
