@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only if it has at most so many rows, counted before.
 BROADCAST_ROWS = 100_000
-#: Rows of one key from which the key is salted, and the largest number of salted keys.
+#: Rows of one key above which it is salted, and the largest number of salted keys.
 HOT_ROWS, MOST_HOT_KEYS = 200_000, 1_000
 #: Parts into which a hot key is divided.
 SALTS = 32
@@ -19,7 +19,7 @@ def within(df: DataFrame, rows: int) -> bool:
 
 
 def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> list:
-    """Keys with more than ``max(hot_rows, rows / MOST_HOT_KEYS)`` rows, hence at most MOST_HOT_KEYS."""
+    """The keys with more than ``hot_rows`` rows; of more than MOST_HOT_KEYS the largest ones."""
     counts = df.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > hot_rows)
     top = counts.orderBy(F.desc("count")).limit(MOST_HOT_KEYS).collect()
     return [row[0] for row in top]

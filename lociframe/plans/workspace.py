@@ -30,14 +30,39 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Folders of the jobs of this process, with their sessions.
+_ROOTS: dict[str, SparkSession] = {}
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def remove_tables() -> None:
+    """Delete the intermediate tables of this process; DataFrames that read them can't be used any more."""
+    while _ROOTS:
+        root, spark = _ROOTS.popitem()
+        try:
+            delete_folder(spark, root)
+        except Exception:  # noqa: BLE001 - a session that has ended can't delete; its folder is then left
+            continue
+
+
+atexit.register(remove_tables)
+
+
 class Workspace:
-    """Numbered parquet tables of one job under the shared folder."""
+    """Numbered parquet tables of one job under the shared folder.
+
+    They are deleted by :func:`remove_tables`, which runs when the process ends.
+    """
 
     def __init__(self, spark: SparkSession, job: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{job}-{uuid.uuid4().hex}"
+        _ROOTS[self.root] = spark
         self._n = 0
-        self._paths: dict[int, str] = {}
 
     def path(self, name: str) -> str:
         self._n += 1
@@ -48,17 +73,11 @@ class Workspace:
         path = self.path(name)
         df.write.parquet(path)
         stored = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(stored)] = path
-        stored._workspace_path = path  # keeps the id taken for as long as the table is known
+        stored._workspace_path = path
         return stored
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete stored tables that no later step reads."""
         for table in tables:
             if path := getattr(table, "_workspace_path", None):
-                self.delete(path)
-
-    def delete(self, path: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+                delete_folder(self.spark, path)

@@ -125,7 +125,7 @@ def test_ordinals_and_running_sums_of_empty_tables(spark):
 
 
 def test_shared_folder_is_the_sessions(spark):
-    from lociframe.plans.workspace import Workspace, shared_folder
+    from lociframe.plans.workspace import Workspace, remove_tables, shared_folder
 
     folder = shared_folder(spark)
     assert spark.conf.get("spark.checkpoint.dir") == folder
@@ -133,3 +133,7 @@ def test_shared_folder_is_the_sessions(spark):
     stored = ws.store(spark.range(3).toDF("x"), "x")
     assert stored.count() == 3 and ws.root.startswith(folder)
     ws.drop(stored)
+    kept = ws.store(spark.range(3).toDF("x"), "x")
+    remove_tables()
+    with pytest.raises(Exception, match="(?i)not.?exist|not.?found"):
+        kept.collect()
