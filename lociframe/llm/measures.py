@@ -6,6 +6,7 @@ different values is bounded.  Null texts are measured as empty ones.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from operator import eq
 
@@ -30,6 +31,7 @@ _COMMON = frozenset(w for words in COMMON_WORDS.values() for w in words.split())
 #: Cell contents that stand for no value (fixed values).
 EMPTY_CELLS = frozenset(["", "-", "–", "—", "n/a", "na", "none", "?", "x", "."])
 
+_ASCII_WORD = re.compile(r"[A-Za-z0-9]+(?:'[A-Za-z]+)*")
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:['’][\p{L}\p{M}]+)*")
 _SYMBOL = regex.compile(r"[^\p{L}\p{M}\p{N}\s]")
 _DIGIT = regex.compile(r"\p{N}")
@@ -90,14 +92,24 @@ def table_shape(lines: list[str]) -> tuple[int, int]:
     return best
 
 
+def words_in(text: str) -> list[str]:
+    return _ASCII_WORD.findall(text) if text.isascii() else _WORD.findall(text)
+
+
+#: A bare entry has at most so many characters.
+LONGEST_ENTRY = 120
+
+
 def is_entry(line: str) -> bool:
     """Whether a line is a bare entry: few words that make no sentence."""
+    if len(line) > LONGEST_ENTRY:
+        return False
     marker = _MARKER.match(line)
     bare = _AMOUNT.sub(" ", line[marker.end() :] if marker else line).strip()
-    wide = len(_SPACED_OUT.findall(bare))
+    wide = 0 if bare.isascii() else len(_SPACED_OUT.findall(bare))
     if wide:
         return wide <= 7 and not _ENDED.search(bare.rstrip(":;"))
-    words = [w.lower() for w in _WORD.findall(bare)]
+    words = [w.lower() for w in words_in(bare)]
     if not words:
         return bool(marker)
     common = sum(w in _COMMON for w in words)
@@ -150,7 +162,7 @@ def measure(text: str | None) -> tuple[int, ...]:
     """The measures named in NAMES; 0 where there is nothing to measure."""
     text = text or ""
     lines = [line for line in text.splitlines() if line.strip()]
-    found = _WORD.findall(text)
+    found = words_in(text)
     words = [w.lower() for w in found]
     n = len(words)
     counts = Counter(text)
