@@ -129,6 +129,14 @@ def _gt(field: tuple[int, int, bytes], n_samples: int) -> tuple[np.ndarray, np.n
     return alleles, (v & 1) == 1
 
 
+def any_phased(fields: dict, n_samples: int) -> bool:
+    """Whether any genotype of a record is marked as phased."""
+    if "GT" not in fields:
+        return False
+    alleles, phased = _gt(fields["GT"], n_samples)
+    return bool((phased[:, 1:] & (alleles[:, 1:] > -2)).any())
+
+
 def values(fields: dict, n_samples: int, kind: str, dosage: str, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Calls of the samples ``keep`` by sample or haplotype, and those by sample."""
     if dosage == "dosage":

@@ -170,8 +170,11 @@ class Dataset:
         return self.variant_table().orderBy("variant_idx").select(*ops.VARIANT_COLUMNS)
 
     def phased(self) -> bool:
-        """Whether a VCF file holds any phased genotype."""
-        return self.source.format == "vcf" and not vcf.lines(self.spark, self.source.path).where(F.col("line").rlike(r"\t[0-9.]+\|[0-9.]+")).isEmpty()
+        """Whether a VCF or BCF file holds any phased genotype; PLINK 2 and BGEN files tell it for each variant."""
+        s = self.source
+        if s.format == "vcf":
+            return not vcf.lines(self.spark, s.path).where(F.col("line").rlike(r"\t[0-9.]+\|[0-9.]+")).isEmpty()
+        return s.format == "bcf" and any(bcf.any_phased(fields, n) for _, fields, n in bcf.records(*bcf.open_bcf(str(s.path))))
 
     # ---- calls ----
 

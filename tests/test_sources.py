@@ -232,6 +232,7 @@ def test_bcf_half_calls_haplotypes_and_dosages(spark, tmp_path):
     d = L.vcf(w.write_bcf(tmp_path / "c.bcf", rows, ["A", "B"]), spark)
     np.testing.assert_array_equal(d.read(), np.array([[1, NAN], [1, 2]], dtype="float32"))
     np.testing.assert_array_equal(d.read(dosage="dosage"), np.array([[0.5, 2], [NAN, 0]], dtype="float32"))
+    assert d.phased() and not L.vcf(w.write_bcf(tmp_path / "u.bcf", [(w.VARIANTS[0], None, [(2, 4)], None)], ["A"]), spark).phased()
     np.testing.assert_array_equal(d.read(kind="haplo", variants=L.qual(min=10)), np.array([[0], [1], [1], [0]], dtype="float32"))
     with pytest.raises(L.UnsupportedRepresentation):
         d.read(kind="haplo")
