@@ -15,8 +15,8 @@ from lociframe.errors import InvalidOptionError, InvalidSourceError, MissingData
 from lociframe.filters import FilterExpr
 from lociframe.functions.alleles import STAT_COLUMNS, with_stats
 from lociframe.plans.joins import BROADCAST_ROWS, sized_join, within
-from lociframe.plans.ordinals import with_ordinal, with_running_sum
-from lociframe.plans.predicates import NO, needed, simplify, to_column, uses_stats
+from lociframe.plans.ordinals import with_ordinal, with_running
+from lociframe.plans.predicates import NO, needed, simplify, to_column, to_filter, uses_stats
 
 VARIANT_COLUMNS = ("chrom", "pos", "id", "a0", "a1")
 SAMPLE_COLUMNS = ("fid", "iid", "father", "mother", "sex", "phenotype")
@@ -54,8 +54,8 @@ def keep_variants(wide: DataFrame, expr: FilterExpr | None, calls: str = "calls"
     if node is NO:
         return wide.where(F.lit(False))
     first = needed(node)
-    rows = wide.where(to_column(first)) if first.kind != "yes" else wide
-    return with_stats(rows, calls).where(to_column(node)) if uses_stats(node) else rows
+    rows = wide.where(to_filter(first)) if first.kind != "yes" else wide
+    return with_stats(rows, calls).where(to_filter(node)) if uses_stats(node) else rows
 
 
 def keep_ids(variants: DataFrame, ids: DataFrame, negate: bool = False) -> DataFrame:
@@ -123,10 +123,10 @@ def read_variants(wide: DataFrame, expr: FilterExpr | None, policy: str = "nan",
     if node is NO:
         return wide.where(F.lit(False)).drop(*([failed] if failed else []))
     first = needed(node)
-    rows = wide.where(to_column(first)) if first.kind != "yes" else wide
+    rows = wide.where(to_filter(first)) if first.kind != "yes" else wide
     if uses_stats(node):
         rows = with_stats(rows, counted or calls)
-    kept = judged = to_column(node)
+    kept, judged = to_column(node), to_filter(node)
     if failed:
         if uses_stats(node):
             uncounted = to_column(first) & F.col("__failed").startswith(tag(InvalidSourceError, ""))
@@ -171,7 +171,7 @@ def csc_columns(wide: DataFrame, calls: str = "calls") -> DataFrame:
     pairs = F.filter(F.transform(calls, lambda x, i: F.struct(i.cast("int").alias("i"), x.cast("float").alias("x"))), lambda p: p["x"] != 0)
     cut = wide.select("variant_idx", F.transform(pairs, lambda p: p["i"]).alias("indices"), F.transform(pairs, lambda p: p["x"]).alias("data"))
     counted = cut.withColumn("nnz", F.size("indices").cast("long"))
-    return with_ordinal(with_running_sum(counted, "variant_idx", "nnz", "indptr_end"), "variant_idx", "column")
+    return with_running(counted, "variant_idx", ordinal="column", sums={"nnz": "indptr_end"})
 
 
 def csr_rows(wide: DataFrame, n_samples: int, calls: str = "calls") -> DataFrame:
@@ -236,8 +236,10 @@ def align_design(samples: DataFrame, table: DataFrame, on: str = "iid") -> DataF
 
 def diagnostics(candidates: DataFrame, retained: DataFrame, n_source_samples: int, n_samples: int) -> DataFrame:
     """One row of counts: samples and variants offered, kept and dropped."""
-    n_all, n_kept = candidates.agg(F.count("*").alias("candidate_variants")), retained.agg(F.count("*").alias("retained_variants"))
-    both = n_all.select("candidate_variants", F.lit(1).alias("k")).join(n_kept.select("retained_variants", F.lit(1).alias("k")), "k").drop("k")
+    none = F.lit(0).cast("long")
+    offered = candidates.agg(F.count("*").alias("candidate_variants")).withColumn("retained_variants", none)
+    kept = retained.agg(F.count("*").alias("retained_variants")).withColumn("candidate_variants", none)
+    both = offered.unionByName(kept).agg(F.sum("candidate_variants").alias("candidate_variants"), F.sum("retained_variants").alias("retained_variants"))
     return both.select(
         F.lit(n_source_samples).cast("long").alias("source_samples"), F.lit(n_samples).cast("long").alias("retained_samples"),
         "candidate_variants", "retained_variants", (F.col("candidate_variants") - F.col("retained_variants")).alias("dropped_variants"),

@@ -1,7 +1,8 @@
 """Consecutive numbers and running sums over a whole ordered table, without one task sorting it all.
 
 The table is range-partitioned, sorted within partitions and stored; a row's number
-is its place in the partition plus the rows of the partitions before.
+is its place in the partition plus the rows of the partitions before, and a running
+sum is the sum within the partition plus those of the partitions before.
 """
 
 from __future__ import annotations
@@ -16,29 +17,30 @@ from lociframe.plans.workspace import Workspace
 _PLACE = (1 << 33) - 1
 
 
-def _placed(df: DataFrame, order_by: str, job: str) -> DataFrame:
-    ordered = df.repartitionByRange(order_by).sortWithinPartitions(order_by)
-    number = F.monotonically_increasing_id()
-    return Workspace(df.sparkSession, job).store(ordered.withColumn("__part", F.spark_partition_id()).withColumn("__place", number.bitwiseAND(F.lit(_PLACE))), "ordered")
-
+def with_running(df: DataFrame, order_by: str, ordinal: str | None = None, sums: dict[str, str] | None = None) -> DataFrame:
+    """Add the place of each row from 0 as ``ordinal``, and for each ``{amount: name}`` the sum up to and with the row.
 
-def _offsets(placed: DataFrame, amount) -> DataFrame:
-    """The sums of all partitions before each one; a row a partition."""
-    sums = placed.groupBy("__part").agg(amount.alias("__sum"))
-    before = F.coalesce(F.sum("__sum").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return sums.select("__part", before.cast("long").alias("__before"))
+    Ties of ``order_by`` are placed in any order; null amounts add nothing; an
+    empty table stays empty.
+    """
+    sums = sums or {}
+    ordered = df.repartitionByRange(order_by).sortWithinPartitions(order_by)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit(_PLACE))
+    placed = Workspace(df.sparkSession, "ordinals").store(ordered.withColumn("__part", F.spark_partition_id()).withColumn("__place", place), "ordered")
+    # one row a partition
+    totals = placed.groupBy("__part").agg(F.count("*").alias("__rows"), *[F.coalesce(F.sum(a), F.lit(0)).cast("long").alias(f"__of_{n}") for a, n in sums.items()])
+    earlier = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    names = ["__rows", *[f"__of_{n}" for n in sums.values()]]
+    before = totals.select("__part", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).cast("long").alias(c) for c in names])
+    out = sized_join(placed, before, "__part", "inner")
+    if ordinal:
+        out = out.withColumn(ordinal, F.col("__rows") + F.col("__place"))
+    here = W.partitionBy("__part").orderBy("__place").rowsBetween(W.unboundedPreceding, 0)
+    for amount, name in sums.items():
+        out = out.withColumn(name, F.col(f"__of_{name}") + F.coalesce(F.sum(amount).over(here), F.lit(0)))
+    return out.drop("__part", "__place", *names)
 
 
 def with_ordinal(df: DataFrame, order_by: str, name: str = "ordinal") -> DataFrame:
-    """Add the place of each row in the order of ``order_by``, from 0; ties are placed in any order."""
-    placed = _placed(df, order_by, "ordinals")
-    out = sized_join(placed, _offsets(placed, F.count("*")), "__part", "inner")
-    return out.withColumn(name, F.col("__before") + F.col("__place")).drop("__part", "__place", "__before")
-
-
-def with_running_sum(df: DataFrame, order_by: str, amount: str, name: str) -> DataFrame:
-    """Add the sum of ``amount`` over all rows up to and with each one; nulls add nothing."""
-    placed = _placed(df, order_by, "sums")
-    out = sized_join(placed, _offsets(placed, F.coalesce(F.sum(amount), F.lit(0))), "__part", "inner")
-    here = F.coalesce(F.sum(amount).over(W.partitionBy("__part").orderBy("__place").rowsBetween(W.unboundedPreceding, 0)), F.lit(0))
-    return out.withColumn(name, F.col("__before") + here).drop("__part", "__place", "__before")
+    """Add the place of each row in the order of ``order_by``, from 0."""
+    return with_running(df, order_by, ordinal=name)

@@ -165,9 +165,13 @@ def concrete_region(node: Node) -> tuple[str, int, int] | None:
     return None
 
 
+def _as_float(x: float | None) -> Column | None:
+    return None if x is None else F.lit(x).cast("float")
+
+
 def _between(value: Column, node: Node) -> Column:
-    tests = [value >= F.lit(node.low)] if node.low is not None else []
-    tests += [value <= F.lit(node.high)] if node.high is not None else []
+    tests = [value >= node.low] if node.low is not None else []
+    tests += [value <= node.high] if node.high is not None else []
     return reduce(Column.__and__, tests)
 
 
@@ -175,7 +179,8 @@ def _one_alternate() -> Column:
     return F.coalesce(~F.contains(F.col("alt_allele"), F.lit(",")), F.lit(True))
 
 
-def _leaf_column(node: Node) -> Column:
+def _leaf_test(node: Node) -> Column:
+    """Whether a leaf holds; null where a value is missing."""
     if node.name == "chrom":
         test = F.col("chrom").isin(*sorted(node.values))
     elif node.name == "region":
@@ -188,26 +193,39 @@ def _leaf_column(node: Node) -> Column:
     elif node.name == "snp":
         test = (F.octet_length("a0") == 1) & (F.octet_length("a1") == 1) & _one_alternate()
     elif node.name == "qual":
-        value = F.col("qual").cast("float").cast("double")
-        test = ~F.isnan(value) & _between(value, node)
+        test = ~F.isnan("qual") & _between(F.col("qual"), replace(node, low=_as_float(node.low), high=_as_float(node.high)))
     elif node.name == "polymorphic":
         test = F.col("mac") > 0
     else:
         test = _between(F.col(node.name).cast("double"), node)
-    return F.coalesce(test, F.lit(False))
+    return test
 
 
-def to_column(node: Node) -> Column:
-    """The filter over ``chrom, pos, id, a0, a1, alt_allele, qual`` and, if it uses them, the allele statistics."""
+def _column(node: Node, leaf, below_not) -> Column:
     if node.kind in ("yes", "no"):
         return F.lit(node.kind == "yes")
     if node.kind == "leaf":
-        return _leaf_column(node)
-    parts = [to_column(p) for p in node.parts]
-    return ~parts[0] if node.kind == "not" else reduce(Column.__and__ if node.kind == "all" else Column.__or__, parts)
+        return leaf(node)
+    if node.kind == "not":
+        return ~below_not(node.parts[0])
+    return reduce(Column.__and__ if node.kind == "all" else Column.__or__, [_column(p, leaf, below_not) for p in node.parts])
+
+
+def to_column(node: Node) -> Column:
+    """The filter as a value, true or false, over ``chrom, pos, id, a0, a1, alt_allele, qual`` and the allele statistics it uses."""
+    return _column(node, lambda n: F.coalesce(_leaf_test(n), F.lit(False)), to_column)
+
+
+def to_filter(node: Node) -> Column:
+    """The filter as a condition for ``where``, which drops rows for null as for false.
+
+    Only what stands under a negation must be false instead of null; the rest stays
+    in a form that is pushed into scans.
+    """
+    return _column(node, _leaf_test, to_column)
 
 
 def keep_metadata(variants: DataFrame, expr: FilterExpr | None) -> DataFrame:
     """Rows that can still pass, before any genotype is decoded."""
     node = needed(simplify(expr))
-    return variants if node is YES else variants.where(to_column(node))
+    return variants if node is YES else variants.where(to_filter(node))

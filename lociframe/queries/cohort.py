@@ -12,7 +12,7 @@ from lociframe import filters as f
 from lociframe.functions.alleles import STAT_COLUMNS, category_count, long_stats, whole_mac, with_stats
 from lociframe.functions.calls import decoded_ds, decoded_gt, decoded_phased, expected_dosage, implied_split, key_place, phased_dosage, sample_value, split_dosage
 from lociframe.operators import cohort as ops
-from lociframe.plans.predicates import needed, simplify, to_column
+from lociframe.plans.predicates import needed, simplify, to_filter, uses_stats
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -61,9 +61,9 @@ def filtered(expr: f.FilterExpr, columns: tuple[str, ...] = FRAME) -> Query:
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         node = simplify(expr)
-        rows = typed_variants(spark, sf_dir).where(to_column(needed(node)))
-        if "maf" in str(node) or "mac" in str(node) or "missing_rate" in str(node) or "polymorphic" in str(node):
-            rows = with_call_stats(spark, sf_dir, rows).where(to_column(node))
+        rows = typed_variants(spark, sf_dir).where(to_filter(needed(node)))
+        if uses_stats(node):
+            rows = with_call_stats(spark, sf_dir, rows).where(to_filter(node))
         return rows.select(*columns)
 
     return run

@@ -7,7 +7,7 @@ from lociframe.errors import MissingDataError, untagged
 from lociframe.functions.alleles import long_stats, with_stats
 from lociframe.operators import cohort as ops
 from lociframe.plans.joins import hot_keys, sized_join, skew_join
-from lociframe.plans.ordinals import with_ordinal, with_running_sum
+from lociframe.plans.ordinals import with_ordinal, with_running
 
 
 @pytest.fixture(scope="module")
@@ -121,7 +121,9 @@ def test_skewed_joins_equal_plain_ones(spark, how):
 
 def test_ordinals_and_running_sums_of_empty_tables(spark):
     empty = spark.createDataFrame([], "v long, n long")
-    assert with_ordinal(empty, "v").count() == 0 and with_running_sum(empty, "v", "n", "s").count() == 0
+    assert with_ordinal(empty, "v").count() == 0 and with_running(empty, "v", sums={"n": "s"}).count() == 0
+    some = spark.createDataFrame([(3, 1), (1, None), (2, 5)], "v long, n long")
+    assert sorted(map(tuple, with_running(some, "v", "k", {"n": "s"}).collect())) == [(1, None, 0, 0), (2, 5, 1, 5), (3, 1, 2, 6)]
 
 
 def test_shared_folder_is_the_sessions(spark):

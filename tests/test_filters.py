@@ -10,7 +10,7 @@ from pyspark.sql import Row
 
 import lociframe as L
 from lociframe.filters import as_filter, from_ir
-from lociframe.plans.predicates import NO, YES, concrete_region, needed, simplify, to_column, uses_stats
+from lociframe.plans.predicates import NO, YES, concrete_region, needed, simplify, to_column, to_filter, uses_stats
 
 LEAVES = [L.chrom("1"), L.id_in(["rs1"]), L.qual(min=20), L.maf(min=0.4)]
 
@@ -95,6 +95,11 @@ leaf = st.sampled_from(
 tree = st.recursive(leaf, lambda t: st.one_of(st.tuples(t, t).map(lambda p: p[0] & p[1]), st.tuples(t, t).map(lambda p: p[0] | p[1]), t.map(lambda x: ~x)), max_leaves=8)
 
 
+def test_conditions_keep_the_rows_that_columns_tell(table):
+    for e in [*LEAVES, *[~x for x in LEAVES], (L.qual(min=20) | L.maf(min=0.4)) & ~(L.maf(max=0.2) & L.chrom("1")), L.qual(max=25) & ~L.maf(min=0.4)]:
+        assert kept(table, to_filter(simplify(e))) == {r["n"] for r in rows() if truth(e, r)}
+
+
 @settings(max_examples=15, deadline=None)
 @given(st.lists(tree, min_size=12, max_size=12))
 def test_simplified_filters_keep_their_meaning(table, exprs):
