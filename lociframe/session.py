@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -14,3 +17,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     spark = SparkSession.builder.master(f"local[{cores}]").config(map=settings).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def reach_workers(spark: SparkSession) -> None:
+    """Let Python workers import this library from where the driver has it.
+
+    A driver may find the library by its own search path alone, which workers don't
+    inherit.  On a cluster the place must be seen by the executors, unless the library
+    is installed there or sent with ``--py-files``.
+    """
+    root = str(Path(__file__).resolve().parent.parent)
+    environment = spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join([*([known] if known else []), root])
