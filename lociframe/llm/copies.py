@@ -22,6 +22,8 @@ from lociframe.plans.workspace import shared_folder
 #: The ASCII characters that are neither letters nor digits.
 ASCII_SIGNS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 FIELDS = ("chrom", "pos", "a0", "a1")
+#: Rows with a null in these have no key.
+NEEDED = (*FIELDS, "rec_id")
 
 
 def _bare(value: Column) -> Column:
@@ -45,7 +47,7 @@ def keyed(feed: DataFrame, at: str | None = None) -> DataFrame:
     order.  Each step is a projection of its own, so that none is worked out twice.
     """
     cols = ["rec_id", *([at] if at else [])]
-    whole = feed.select(*FIELDS, *cols).dropna(subset=[*FIELDS, "rec_id"])
+    whole = feed.select(*FIELDS, *cols).dropna(subset=[*NEEDED])
     bare = whole.select(*FIELDS, *cols, *[_bare(F.col(c)).alias(f"bare_{c}") for c in FIELDS])
     told = bare.select(*cols, *[_plain(F.col(c), F.col(f"bare_{c}")).alias(c) for c in FIELDS])
     ordered = told.select(*cols, "chrom", "pos", F.least("a0", "a1").alias("a0"), F.greatest("a0", "a1").alias("a1"))
@@ -176,7 +178,23 @@ def copies_in(feed: DataFrame, at: str = "received_at") -> DataFrame:
 
 
 def records_once(feed: DataFrame, ledger: CopyLedger) -> DataFrame:
-    """Each record once, as its earliest row writes it, with ``n_copies``."""
+    """Each keyed record once, as its earliest row writes it, with ``n_copies``.
+
+    Rows with a null in ``NEEDED`` aren't in the ledger and are left out;
+    :func:`every_record` gives them too.
+    """
     entries = ledger.entries().select(F.col("keep_id").alias("rec_id"), "n_copies")
     return feed.select("rec_id", *FIELDS).join(entries, "rec_id")
 
+
+def every_record(feed: DataFrame, ledger: CopyLedger) -> DataFrame:
+    """Each record of the feed once, with ``n_copies``.
+
+    A row with a null in ``NEEDED`` is a copy of nothing, so it is a record of one
+    copy; such rows are added without a shuffle.
+    """
+    unkeyed = F.lit(False)
+    for c in NEEDED:
+        unkeyed = unkeyed | F.col(c).isNull()
+    alone = feed.where(unkeyed).select("rec_id", *FIELDS, F.lit(1).cast("long").alias("n_copies"))
+    return records_once(feed, ledger).unionByName(alone)

@@ -22,11 +22,17 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every record once, with the number of its copies."""
+    """Every record without nulls once, with the number of its copies."""
     feed = table(spark, sf_dir, "variant_feed")
     return copies.records_once(feed, copies.ledger_of(copies.keyed(feed, "received_at")))
 
 
+def p2_all_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record once, with the number of its copies; rows with a null are records of one copy."""
+    feed = table(spark, sf_dir, "variant_feed")
+    return copies.every_record(feed, copies.ledger_of(copies.keyed(feed, "received_at")))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token ids of every document."""
     return encoding.encode_texts(table(spark, sf_dir, "documents"))
@@ -57,7 +63,7 @@ def p8_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_records, p6_ids, p7_found, p7_spans, p7_items, p8_found, p8_stats)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_records, p2_all_records, p6_ids, p7_found, p7_spans, p7_items, p8_found, p8_stats)}
 
 _KEYS = r"""
 WITH plain AS (
@@ -72,4 +78,7 @@ keyed AS (
 SQL: dict[str, str] = {
     "p2_found": _KEYS + "SELECT keep_id, rec_id AS copy_id FROM keyed WHERE rec_id <> keep_id",
     "p2_records": _KEYS + "SELECT rec_id, chrom, pos, a0, a1, n_copies FROM keyed WHERE rec_id = keep_id",
+    "p2_all_records": _KEYS
+    + """SELECT rec_id, chrom, pos, a0, a1, n_copies FROM keyed WHERE rec_id = keep_id
+       UNION ALL SELECT rec_id, chrom, pos, a0, a1, 1 FROM variant_feed WHERE chrom IS NULL OR pos IS NULL OR a0 IS NULL OR a1 IS NULL""",
 }

@@ -84,3 +84,13 @@ def test_empty_and_long(spark):
     long = "ACGT" * 50_000
     rows = [(1, "chr1", "5", long, "A", at(1)), (2, "chr1", "5", "a", long + "-", at(1)), (3, "chr1", "5", long + "A", "A", at(1))]
     assert sorted(map(tuple, copies.copies_in(frame(spark, rows)).collect())) == [(1, 2)]
+
+
+def test_every_record_comes_out_once_also_with_nulls(spark):
+    rows = [
+        (1, "chr1", "5", "A", "G", at(1)), (2, "1", "5", "g", "a", at(0)), (3, "chr1", "5", "a", "G", None), (4, "chr1", None, "A", "G", at(1)), (5, "chr1", None, "A", "G", at(2)),
+        (6, "chr1", "5", "A", None, None), (7, None, None, None, None, at(1)), (None, "chr1", "5", "A", "G", at(1)), (8, "chr2", "5", None, "G", at(0)),
+    ]
+    feed = frame(spark, rows)
+    got = [tuple(r) for r in copies.every_record(feed, copies.ledger_of(copies.keyed(feed, "received_at"))).collect()]
+    assert sorted(got, key=str) == sorted([(*r[:5], {1: 2, 2: 1}.get(r[0], 1)) for r in rows if r[0] != 3], key=str)
