@@ -102,6 +102,8 @@ def records(s: Stream, header: BcfHeader) -> Iterator[tuple[tuple, dict[str, tup
             alleles.append(allele)
         if chrom not in header.contigs:
             raise InvalidSourceError("a BCF record names an unknown contig")
+        if pos < -1:
+            raise InvalidSourceError(f"a BCF record on {header.contigs[chrom]} has position {pos + 1}")
         if n_alleles < 2:
             raise InvalidSourceError(f"BCF record {header.contigs[chrom]}:{pos + 1} has fewer than two alleles")
         qual = None if raw_qual in (NO_FLOAT, END_FLOAT) else float(np.uint32(raw_qual).view(np.float32))

@@ -102,8 +102,9 @@ class WideReader(DataSourceReader):
         self.files = options["files"]
         self.with_calls = options.get("content", "calls") == "calls"
         self.kind, self.dosage, self.keep = options.get("kind", "geno"), options.get("dosage", "hardcall"), options.get("keep")
+        # bounds of pushed filters only: 0 is a position too, that of unplaced variants
         self.chrom: str | None = None
-        self.low, self.high = 1, (1 << 32) - 1
+        self.low, self.high = 0, (1 << 32) - 1
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:

@@ -411,3 +411,32 @@ def test_broken_files_raise_their_own_errors(spark, tmp_path):
     path = w.write_bgen(tmp_path / "d.bgen", [w.bgen_block([(200, 100)])], w.VARIANTS[:1], ["A"])
     with pytest.raises(L.InvalidSourceError, match="more than one"):
         L.bgen(path, spark).read(dosage="dosage")
+
+
+@pytest.mark.parametrize("form", ["vcf", "plink1", "plink2", "bgen", "bgen-index", "bcf"])
+def test_variants_at_position_0_are_kept(spark, tmp_path, form):
+    v = [("1", 0, "unplaced", "G", "A"), ("1", 20, "rs2", "T", "C"), ("2", 0, "other", "C", "T")]
+    dosage = {}
+    if form == "vcf":
+        d = L.vcf(w.write_vcf(tmp_path / "c.vcf", [w.vcf_row(x, ["0/1", "1/1"]) for x in v], ["A", "B"]), spark)
+    elif form == "plink1":
+        d = L.bfile(w.write_plink1(tmp_path / "c", [[1, 2]] * 3, v, ["A", "B"]), spark)
+    elif form == "plink2":
+        d = L.pfile(w.write_plink2(tmp_path / "c", [[1, 2]] * 3, v, ["A", "B"]), spark)
+    elif form == "bcf":
+        d = L.vcf(w.write_bcf(tmp_path / "c.bcf", [(x, None, [(2, 4), (4, 4)], None) for x in v], ["A", "B"]), spark)
+    else:
+        dosage = {"dosage": "dosage"}
+        d = L.bgen(w.write_bgen(tmp_path / "c.bgen", [w.bgen_block([(0, 255), (0, 0)])] * 3, v, ["A", "B"], index=form == "bgen-index"), spark)
+    matrix, variants = d.read(return_variants=True, **dosage)
+    assert matrix.tolist() == [[1] * 3, [2] * 3]
+    assert [tuple(r) for r in variants.itertuples(index=False)] == v == [tuple(r) for r in d.variants().collect()]
+    assert d.frame(**dosage).count() == 3 and sum(b.shape[1] for b in d.iter_blocks(2, **dosage)) == 3
+    assert ids(d.read(variants=L.chrom("1"), return_variants=True, **dosage)) == ["unplaced", "rs2"]
+    assert ids(d.read(variants=L.region("1:1-30"), return_variants=True, **dosage)) == ["rs2"]
+
+
+def test_a_bcf_position_below_0_is_no_position(spark, tmp_path):
+    rows = [(("1", -1, "x", "G", "A"), None, [(2, 4)], None)]
+    with pytest.raises(L.InvalidSourceError, match="position"):
+        L.vcf(w.write_bcf(tmp_path / "c.bcf", rows, ["A"]), spark).read()
