@@ -151,17 +151,32 @@ def hierarchy_nodes(people: DataFrame, pairs: DataFrame, links: DataFrame) -> Da
     )
 
 
-def root_paths(pairs: DataFrame, links: DataFrame) -> DataFrame:
+def root_paths(pairs: DataFrame, links: DataFrame, people: DataFrame | None = None) -> DataFrame:
     """``(node, root, links, path)``: a shortest way from each node up to each of its roots.
 
     ``pairs`` comes from :func:`ancestor_pairs` with paths; ``path`` is the text of
-    the way from the root down to the node, parted by ``/``.
+    the way from the root down to the node, parted by ``/``.  With ``people``, which
+    has the column ``node``, every node there has a row: one without parents is its
+    own root (0 links, the path is its name), and one that reaches no root, as all
+    its ways up end in cycles, has one row of nulls.  Nulls and repeats in
+    ``people`` are ignored.
     """
-    pairs = Workspace(pairs.sparkSession, "paths").store(pairs, "pairs")
+    ws = Workspace(pairs.sparkSession, "paths")
+    pairs = ws.store(pairs, "pairs")
     with_parents = links.select(F.col("node").alias("ancestor")).distinct()
     tops = skew_join(pairs, with_parents, "ancestor", "left_anti", spread_by="node")
     way = F.array_join(F.reverse(F.concat(F.array("node"), "path")), "/")
-    return tops.select("node", F.col("ancestor").alias("root"), F.col("links").cast("long").alias("links"), way.alias("path"))
+    below = tops.select("node", F.col("ancestor").alias("root"), F.col("links").cast("long").alias("links"), way.alias("path"))
+    if people is None:
+        return below
+    below = ws.store(below, "below")
+    ws.drop(pairs)
+    rest = people.select("node").where(F.col("node").isNotNull()).distinct().join(below.select("node").distinct(), "node", "left_anti")
+    marked = rest.join(with_parents.select(F.col("ancestor").alias("node"), F.lit(True).alias("has_parent")), "node", "left")
+    alone = F.col("has_parent").isNull()
+    return below.unionByName(
+        marked.select("node", F.when(alone, F.col("node")).alias("root"), F.when(alone, 0).cast("long").alias("links"), F.when(alone, F.col("node")).alias("path"))
+    )
 
 
 def splitterless_cycles(links: DataFrame, one_in: int = ONE_IN) -> DataFrame:

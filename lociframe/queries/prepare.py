@@ -34,9 +34,10 @@ def p1_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A shortest path from each root down to each sample below it."""
+    """A shortest path from each root down to each sample; samples without parents are their own roots."""
     links = _links(spark, sf_dir)
-    return hierarchy.root_paths(hierarchy.ancestor_pairs(links, paths=True), links)
+    people = table(spark, sf_dir, "samples").select(F.col("iid").alias("node"))
+    return hierarchy.root_paths(hierarchy.ancestor_pairs(links, paths=True), links, people)
 
 
 def p1_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,3 +87,14 @@ def test_nodes_paths_and_empty_tables(spark):
     nothing = frame(spark, [])
     assert h.ancestor_pairs(nothing).count() == 0 and h.parent_links(spark.createDataFrame([], SAMPLES)).count() == 0
     assert h.hierarchy_nodes(people.limit(0), h.ancestor_pairs(nothing), nothing).count() == 0
+
+
+def test_every_person_has_a_path_or_a_row_of_nulls(spark):
+    links = frame(spark, [("b", "a"), ("c", "b"), ("c", "x"), ("q", "r"), ("r", "q"), ("s", "q"), ("t", "s"), ("t", "a")])
+    people = spark.createDataFrame([(n,) for n in ("a", "b", "c", "x", "q", "r", "s", "t", "alone", "alone", None)], "node string")
+    got = [tuple(r) for r in h.root_paths(h.ancestor_pairs(links, paths=True), links, people).collect()]
+    assert sorted(got, key=str) == sorted(
+        [("a", "a", 0, "a"), ("x", "x", 0, "x"), ("alone", "alone", 0, "alone"), ("b", "a", 1, "a/b"), ("c", "a", 2, "a/b/c"), ("c", "x", 1, "x/c"), ("t", "a", 1, "a/t")]
+        + [(n, None, None, None) for n in ("q", "r", "s")],
+        key=str,
+    )
