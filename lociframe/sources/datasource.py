@@ -225,12 +225,18 @@ class Plink2Reader(WideReader):
 
 
 class BgenReader(WideReader):
-    """BGEN variants; a region is found by the index beside the file if there is one."""
+    """BGEN variants; a region is found by the index beside the file if there is one.
+
+    An index with another number of variants than the header isn't used: the file
+    is walked instead.
+    """
 
     def partitions(self) -> list[Span]:
         path = self.files["bgen"]
         h = bgen.read_header(path)
         whole = bgen.indexed(path, None)
+        if whole is not None and len(whole) != h.n_variants:
+            whole = None
         places = [p for p, _ in whole] if whole is not None else list(bgen.walk(path, h))
         sizes = dict(whole) if whole is not None else {}
         numbers = range(len(places))

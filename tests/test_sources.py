@@ -1,3 +1,5 @@
+import sqlite3
+
 import numpy as np
 import pytest
 
@@ -440,3 +442,14 @@ def test_a_bcf_position_below_0_is_no_position(spark, tmp_path):
     rows = [(("1", -1, "x", "G", "A"), None, [(2, 4)], None)]
     with pytest.raises(L.InvalidSourceError, match="position"):
         L.vcf(w.write_bcf(tmp_path / "c.bcf", rows, ["A"]), spark).read()
+
+
+@pytest.mark.parametrize("change", ["DELETE FROM Variant WHERE rsid = 'rs2'", "INSERT INTO Variant SELECT * FROM Variant WHERE rsid = 'rs2'"])
+def test_a_bgen_index_of_other_variants_loses_none(spark, tmp_path, change):
+    path = w.write_bgen(tmp_path / "d.bgen", [w.bgen_block([(204, 26)])] * 4, w.VARIANTS, ["A"], index=True)
+    with sqlite3.connect(f"{path}.bgi") as db:
+        db.execute(change)
+    d = L.bgen(path, spark)
+    assert ids(d.read(dosage="dosage", return_variants=True)) == [v[2] for v in w.VARIANTS]
+    assert d.variants().count() == 4 and d.frame(dosage="dosage").count() == 4
+    assert ids(d.read(dosage="dosage", variants=L.region("1:15-25"), return_variants=True)) == ["rs2"]
