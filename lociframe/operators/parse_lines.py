@@ -69,6 +69,16 @@ _CLASS[ord("\t")], _CLASS[ord('"')] = TAB, QUOTE
 
 def tokenize(text: pa.Array) -> tuple[pa.Array, pa.Array]:
     """Whether each text is quoted rightly, and its fields without enclosing quotes."""
+    return tokenize_with_places(text, False)[:2]
+
+
+def tokenize_with_places(text: pa.Array, places: bool = True) -> tuple[pa.Array, ...]:
+    """As :func:`tokenize`, and the bytes (from 0) where fields start and where quoting fails.
+
+    Quoting fails at the first byte that mustn't stand there, or at the end of a
+    text whose quote isn't closed (null if it doesn't fail); the failing field is
+    the last one, as nothing is parted behind it.
+    """
     text = text.fill_null("").cast(pa.large_string())
     n = len(text)
     offsets = np.frombuffer(text.buffers()[1], dtype=np.int64, count=n + 1 + text.offset)[text.offset :]
@@ -94,7 +104,18 @@ def tokenize(text: pa.Array) -> tuple[pa.Array, pa.Array]:
     values = pa.LargeStringArray.from_buffers(len(field_ends), pa.py_buffer(value_offsets), pa.py_buffer(raw[kept].tobytes()))
     list_offsets = np.zeros(n + 1, dtype=np.int32)
     list_offsets[1:] = np.cumsum(parts)[ends]
-    return pa.array(ok), pa.ListArray.from_arrays(pa.array(list_offsets), values.cast(pa.string()))
+    found = pa.array(ok), pa.ListArray.from_arrays(pa.array(list_offsets), values.cast(pa.string()))
+    if not places:
+        return found
+    firsts = offsets[:-1] + np.arange(n)
+    starts = np.zeros(len(field_ends), dtype=np.int64)
+    starts[1:] = field_ends[:-1] + 1
+    starts -= np.repeat(firsts, np.diff(list_offsets))
+    breaks = np.flatnonzero((before != BROKEN) & (NEXT[symbols, before] == BROKEN))
+    lines = np.searchsorted(ends, breaks)
+    at = np.where(last == QUOTED, ends - firsts, -1)
+    at[lines] = breaks - firsts[lines]
+    return *found, pa.ListArray.from_arrays(pa.array(list_offsets), pa.array(starts)), pa.array(at, mask=at < 0)
 
 
 def _tokenize_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,10 +125,18 @@ def _tokenize_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([*[batch.column(name) for name in others], ok, fields], names=[*others, "quoted_rightly", "fields"])
 
 
-def with_fields(lines: DataFrame) -> DataFrame:
-    """Rows with ``quoted_rightly`` and ``fields`` in place of their ``text``."""
+def _place_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        others = [name for name in batch.schema.names if name != "text"]
+        yield pa.RecordBatch.from_arrays([*[batch.column(name) for name in others], *tokenize_with_places(batch.column("text"))], names=[*others, "quoted_rightly", "fields", "starts", "broken_at"])
+
+
+def with_fields(lines: DataFrame, places: bool = False) -> DataFrame:
+    """Rows with ``quoted_rightly`` and ``fields``, and with ``places`` also ``starts`` and ``broken_at``, in place of their ``text``."""
     others = [f for f in lines.schema.fields if f.name != "text"]
     schema = T.StructType([*others, T.StructField("quoted_rightly", T.BooleanType()), T.StructField("fields", T.ArrayType(T.StringType()))])
+    if places:
+        return lines.mapInArrow(_place_batches, schema.add("starts", T.ArrayType(T.LongType())).add("broken_at", T.LongType()))
     return lines.mapInArrow(_tokenize_batches, schema)
 
 
@@ -156,23 +185,40 @@ def fail_reason() -> Column:
     )
 
 
-def parse_lines(lines: DataFrame, files: DataFrame) -> DataFrame:
+def _fail_places() -> list[Column]:
+    """``field_ord``, ``field_start`` and ``fail_byte`` of a line that fails, over the columns of :func:`parse_lines`."""
+    reason, size = F.col("fail_reason"), F.size("fields")
+    value = F.coalesce(*[F.when((reason == c) & (F.col(f"at_{c}") > 0), F.col(f"at_{c}")) for c in ("chrom", "pos", "ref", "alt", "qual")])
+    ord_ = F.when(reason == "quoting", size).when(reason == "columns", F.when(size > F.col("n_fields"), F.col("n_fields") + 1)).otherwise(value)
+    start = F.get("starts", ord_ - 1)
+    short = (reason == "columns") & (size < F.col("n_fields"))
+    byte = F.when(reason == "quoting", F.col("broken_at")).when(short, F.col("n_bytes").cast("long")).otherwise(start)
+    return [ord_.cast("int").alias("field_ord"), start.alias("field_start"), byte.alias("fail_byte")]
+
+
+def parse_lines(lines: DataFrame, files: DataFrame, places: bool = False) -> DataFrame:
     """Every record line with its typed fields and ``fail_reason`` (null if it parses).
 
     Null, blank and ``##`` texts are no records.  A line of an unknown or null
     file fails with ``columns``.  Repeated lines come out as often as they occur.
     Only ``file_id``, ``line_number`` and ``text`` of ``lines`` are used, so other
     columns, also of clashing names, don't matter.  Valid lines have ``chrom``,
-    ``pos``, ``id``, ``ref``, ``alt`` and, where the file has it, ``qual``.
+    ``pos``, ``id``, ``ref``, ``alt`` and, where the file has it, ``qual``.  With
+    ``places`` a line that fails has the columns of :func:`line_errors` too.
     """
     records = lines.select("file_id", "line_number", "text").where(F.col("text").isNotNull() & (F.trim(F.translate("text", "\t\r\n", "   ")) != "") & ~F.col("text").startswith("##"))
-    rows = sized_join(with_fields(records), layouts(files), "file_id", "left", spread_by="line_number")
+    if places:
+        records = records.withColumn("n_bytes", F.octet_length("text"))
+    rows = sized_join(with_fields(records, places), layouts(files), "file_id", "left", spread_by="line_number")
     typed = rows.select(
         "file_id", "line_number", "quoted_rightly", "fields", "n_fields", "at_qual",
         _field("chrom").alias("chrom"), _field("pos").alias("pos_text"), _field("id").alias("id"),
         _field("ref").alias("ref"), _field("alt").alias("alt"), _field("qual").alias("qual_text"),
+        *(["starts", "broken_at", "n_bytes", *[f"at_{c}" for c in ("chrom", "pos", "ref", "alt")]] if places else []),
     )
-    return typed.select("file_id", "line_number", "chrom", "pos_text", "id", "ref", "alt", "qual_text", fail_reason().alias("fail_reason"))
+    out = ("file_id", "line_number", "chrom", "pos_text", "id", "ref", "alt", "qual_text", "fail_reason")
+    judged = typed.withColumn("fail_reason", fail_reason())
+    return judged.select(*out, *(_fail_places() if places else []))
 
 
 def failed_lines(lines: DataFrame, files: DataFrame) -> DataFrame:
@@ -180,6 +226,18 @@ def failed_lines(lines: DataFrame, files: DataFrame) -> DataFrame:
     return parse_lines(lines, files).where(F.col("fail_reason").isNotNull()).select("file_id", "line_number", "fail_reason")
 
 
+def line_errors(lines: DataFrame, files: DataFrame) -> DataFrame:
+    """The lines that don't parse with the place of the first failure.
+
+    ``field_ord`` (from 1) and ``field_start`` name the failing field and the byte
+    of the line, from 0, where it starts, quotes included; ``fail_byte`` is where
+    quoting fails, the end of a line with too few fields, and else ``field_start``.
+    With too many fields the first one too many fails.  A line with too few has no
+    failing field; one of an unknown file, or whose file lacks the column, no place.
+    """
+    return parse_lines(lines, files, places=True).where(F.col("fail_reason").isNotNull()).select("file_id", "line_number", "fail_reason", "field_ord", "field_start", "fail_byte")
+
+
 def valid_lines(lines: DataFrame, files: DataFrame) -> DataFrame:
     """The lines that parse as typed variants; a missing quality is null."""
     good = parse_lines(lines, files).where(F.col("fail_reason").isNull())

@@ -51,6 +51,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_lines.failed_lines(table(spark, sf_dir, "pvar_lines"), table(spark, sf_dir, "pvar_files"))
 
 
+def p3_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that don't parse, with the reason, the failing field and the byte."""
+    return parse_lines.line_errors(table(spark, sf_dir, "pvar_lines"), table(spark, sf_dir, "pvar_files"))
+
+
 def p3_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The other lines as typed variants."""
     return parse_lines.valid_lines(table(spark, sf_dir, "pvar_lines"), table(spark, sf_dir, "pvar_files"))
@@ -81,7 +86,7 @@ def p5_delimiters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_nodes, p1_paths, p1_cycles, p3_found, p3_valid, p4_found, p4_by_period, p5_found, p5_delimiters)
+    f.__name__: f for f in (p1_found, p1_nodes, p1_paths, p1_cycles, p3_found, p3_errors, p3_valid, p4_found, p4_by_period, p5_found, p5_delimiters)
 }
 
 _CLOSURE = """

@@ -126,3 +126,15 @@ def test_random_lines_agree_with_reading_sign_by_sign(spark, files):
         assert (got[k] == "quoting") is (f is None)
         if f is not None:
             assert (got[k] == "columns") is (len(f) != 5)
+
+
+def test_errors_have_the_failing_field_and_byte(spark):
+    files = spark.createDataFrame([(1, "#CHROM\tPOS\tID\tREF\tALT", 5, None)], "file_id long, header_line string, n_fields int, received_at timestamp")
+    texts = {
+        '1\t5\ta"b\tA\tG': ("quoting", 3, 4, 5), '1\t5\té"\tA\tG': ("quoting", 3, 4, 6), '1\t5\t"x"y\tA\tG': ("quoting", 3, 4, 7), '1\t5\t"x\tA\tG': ("quoting", 3, 4, 10),
+        "1\t5\tx\tA": ("columns", None, None, 7), "1\t5\tx\tA\tG\tT\tC": ("columns", 6, 10, 10), "é\t5\tx\tA\tG": ("chrom", 1, 0, 0), '"1"\t5x\tx\tA\tG': ("pos", 2, 4, 4),
+        '1\t5\t"a\té"\tX\tG': ("ref", 4, 11, 11), "1\t5\tx\tA\t": ("alt", 5, 8, 8),
+    }
+    lines = [(1, k, t) for k, t in enumerate(texts)] + [(1, 90, "1\t5\tx\tA\tG"), (2, 91, "1\t5\tx\tA\tG")]
+    got = {r.line_number: tuple(r)[2:] for r in p.line_errors(spark.createDataFrame(lines, "file_id long, line_number long, text string"), files).collect()}
+    assert got == dict(enumerate(texts.values())) | {91: ("columns", None, None, None)}
