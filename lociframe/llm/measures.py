@@ -1,209 +1,357 @@
-"""Measures of one text: words, lines, cells, symbols, repetition and machine residue.
+"""Measures of texts: words, lines, cells, symbols, repetition and how usual a text is for its corpus.
 
-Shares are whole per mille, so that their ranks are exact and the number of
-different values is bounded.  Null texts are measured as empty ones.
+All texts of a batch are laid end to end as one array of code points, and every
+measure is worked out over the whole array; nothing runs sign by sign in Python.
+No measure knows a language or a script by name: what words are common and which
+signs follow each other is counted in the corpus itself (:class:`Usage`).
+Shares are whole per mille and counts are whole numbers, so that ranks are exact.
+Null texts are measured as empty ones.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-from operator import eq
+from dataclasses import dataclass
+from functools import cached_property
 
+import numpy as np
 import regex
 
 #: Names of the measures in order.
 NAMES = (
-    "n_words", "word_length", "symbol_share", "digit_share", "ended_share", "common_share", "n_lines", "entry_share", "row_share", "cell_share",
-    "top_share", "repeat_share", "odd_share", "long_share", "machine_share", "garbled_share", "n_signs",
+    "n_words", "word_length", "symbol_share", "digit_share", "ended_share", "common_share", "known_share", "n_lines", "line_words", "bare_share",
+    "marked_share", "entry_share", "said_share", "row_share", "line_cells", "data_share", "top_share", "entropy", "repeat_share", "surprisal", "switch_share", "long_share", "n_signs",
 )
-#: Common words of the languages met in reviews (fixed values).
-COMMON_WORDS = {
-    "en": "the a an and or but of to in on at for with from by as is are was were be it its this that i we you they my our not no so than very have had has would will after before which what it's never all one me us do did",
-    "de": "der die das ein eine einen und oder aber von zu in im am an auf für mit aus bei als ist sind war es ich wir man mein meine nicht kein keine so sehr hat habe nach vor wie auch was dem den des zum leider wurde sie er noch",
-    "fr": "le la les un une des et ou mais de du au aux dans en sur pour avec par est sont il elle je nous on ce cette ma mon notre ne pas plus très a ai après avant comme que qui je l'ai j'ai même tout se s'en n'est",
-    "es": "el la los las un una y o pero de del al en para con por es son lo se me mi nos no más muy ha he después antes como que su sin le todo está tiene nadie uno ya",
-    "pt": "o a os as um uma e ou mas de do da dos no na em para com por é são ele ela eu meu minha nosso não mais muito foi depois antes como que se tem há sem já ninguém ao à",
-    "ru": "и в во не на что с со как это но по из у за от же к о я мы он она оно они мой моя был была было очень для после до так все уже никто",
-    "ar": "من في على إلى عن مع هذا هذه بعد قبل ما لا لم لن كان كل جدا أن إن لي أنا هو هي ثم أو و يعمل زال أي أكثر عند منذ",
-}
-_COMMON = frozenset(w for words in COMMON_WORDS.values() for w in words.split())
-#: Cell contents that stand for no value (fixed values).
-EMPTY_CELLS = frozenset(["", "-", "–", "—", "n/a", "na", "none", "?", "x", "."])
-
-_ASCII_WORD = re.compile(r"[A-Za-z0-9]+(?:'[A-Za-z]+)*")
-_WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:['’][\p{L}\p{M}]+)*")
-_SYMBOL = regex.compile(r"[^\p{L}\p{M}\p{N}\s]")
-_DIGIT = regex.compile(r"\p{N}")
-_SPACED_OUT = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}ー]")
-_KANA = regex.compile(r"\p{Hiragana}")
-_ENDED = regex.compile(r"[.!?…。！？؟۔:;]['\"»”’)\]]*\s*$")
-_MARKER = regex.compile(r"^\s*(?:[-–—*+•·◦▪‣○●✓✔✗✘☐☑→>]+|\(?\d{1,3}[.)\]]|\(?\p{L}[.)\]]|\[[ xX✓]?\])\s+")
-_AMOUNT = regex.compile(r"^\d+\s*[x×]\s+|\(\s*\d+(?:[.,]\d+)?\s*\p{L}{0,3}\s*\)")
-_RULE_LINE = regex.compile(r"^[\s|+=:─━┼├┤┌┐└┘│-]{3,}$")
-_CELL_GAP = regex.compile(r"\s{2,}")
-_DATA = regex.compile(r"^[<>≈~±+-]?[\d.,]*\d[\d.,]*\s*(?:%|‰|[€$£]|\p{L}{1,3})?$")
-_MACHINE = regex.compile(
-    r"</?\p{L}[^<>\n]*>|<!--(?:(?!<!--)[^\n])*?-->|\{\{[^{}\n]*\}\}|\$\{[^{}\n]*\}|&(?:\p{L}+|#\d+);|%[0-9A-Fa-f]{2}|\\(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2}|[nrt])"
-    r"|\b0x[0-9A-Fa-f]+\b|\[object \p{L}+\]|\b(?:undefined|NaN|null|NULL|None)\b|\bERR_?\w*\d+\b|\bat \S+ \(\S*:\d+(?::\d+)?\)"
+#: Buckets of words, of pairs of signs and of single signs.
+WORD_BUCKETS, PAIR_BUCKETS, SIGN_BUCKETS = 1 << 22, 1 << 16, 1 << 14
+#: The weight of a pair never seen, and the number of signs taken to follow any sign.
+UNSEEN, FOLLOWERS = 0.5, 200
+#: Signs without white space from which on a token counts as long.
+LONG_TOKEN = 24
+#: A bare line has at most so many words and common words.
+BARE_WORDS, BARE_COMMON = 6, 1
+#: A marked line is an entry with at most so many words and common words.
+ENTRY_WORDS, ENTRY_COMMON = 10, 3
+#: Code points laid end to end at once; a longer text is measured on its own.
+BATCH_SIGNS = 100_000
+
+LINE_END, SPACE, SYMBOL, DIGIT, LOWER, UPPER, OTHER, UNSPACED = range(8)
+_CLASSES = (
+    (LINE_END, regex.compile(r"[\n\r\v\f\x85  ]")),
+    (SPACE, regex.compile(r"[\s\p{Z}]")),
+    (DIGIT, regex.compile(r"\p{N}")),
+    (UNSPACED, regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}ー]")),
+    (UPPER, regex.compile(r"[\p{Lu}\p{Lt}]")),
+    (LOWER, regex.compile(r"\p{Ll}")),
+    (OTHER, regex.compile(r"[\p{L}\p{M}]")),
 )
-_GARBLED = regex.compile(r"Ã[\u0080-¿Œ-ƒˆ˜–-™]|Â[\u0080-¿]|â€[\u0080-¿Œ-ƒˆ˜–-™]?|ï¿½|�")
-_VOWEL = "aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüýœ"
-_LATIN = regex.compile(rf"^[a-zß-ÿœ'’]+$")
-_CLUSTER = regex.compile(rf"[^{_VOWEL}'’]{{5,}}|^[^{_VOWEL}'’]{{4,}}|^[^{_VOWEL}'’]{{3,}}$|[aeiou]{{4,}}|q[^uü]|(?:j|q|w|k)(?:j|q|x)|(?:dg|gd|fg|gf|jd|dj|kj|fk|kf|hk|kh|hj|jh|pq|lq|gj|jg|jf|fj|dk|dj|sj|hd|hf|lj|jl|wj)|^(?:lk|lf|lh|rk|rg|rh|rs|rd|gt|ht|hl|hs|hw|wf|wk|wd|tg|td|tk|dh|dq|dl|ks|kd|kt|kp|sg|ss|rr|aa|jj|ii|uu|fh|fs|fd|fw|fp|pd|pk|pf|pg|gp|gg|ff|hh|kk|ll|tt|ww)")
-_MIXED = regex.compile(r"[A-Za-z]\d+[A-Za-z]|\d[A-Za-z]+\d|[a-z][A-Z]|[A-Z][A-Z][a-z]|[A-Za-z]{2}\d")
-_LONG = regex.compile(r"[A-Za-z0-9+/=_]{24,}")
-_SEPARATORS = ("\t", "|", "│", ";", ",")
-
-
-def _per_mille(part: int | float, whole: int | float) -> int:
-    return int(1000 * part // whole) if whole else 0
-
-
-def _cells(line: str, separator: str) -> list[str]:
-    if separator == " ":
-        return _CELL_GAP.split(line.strip())
-    if separator in "|│":
-        line = line.strip().strip(separator)
-    elif separator in ",;":
-        line = line.rstrip().removesuffix(separator)
-    return [c.strip() for c in line.split(separator)]
-
-
-def table_shape(lines: list[str]) -> tuple[int, int]:
-    """Shares of lines that are rows of the same number of cells, two lines at least, and of cells that hold data."""
-    ruled = [bool(_RULE_LINE.match(line)) for line in lines]
-    body = [line for line, r in zip(lines, ruled) if not r]
-    best = (0, 0)
-    for separator in (*_SEPARATORS, " "):
-        if sum(separator in line if separator != " " else "  " in line or "\t" in line for line in body) < 2:
-            continue
-        rows = [_cells(line, separator) for line in body]
-        counts: dict[int, int] = {}
-        for row in rows:
-            if len(row) > 1 and sum(len(c) for c in row) <= 40 * len(row):
-                counts[len(row)] = counts.get(len(row), 0) + 1
-        if not counts:
-            continue
-        n = max(counts, key=lambda k: (counts[k], k))
-        cells = [c for row in rows if len(row) == n for c in row]
-        data = sum(len(c) <= 40 and (c.lower() in EMPTY_CELLS or bool(_DATA.match(c))) for c in cells)
-        best = max(best, (_per_mille(counts[n] + sum(ruled), len(lines)), _per_mille(data, len(cells))), key=lambda b: (min(b[0], 500), b[1], b[0]))
-    return best
-
-
-def words_in(text: str) -> list[str]:
-    return _ASCII_WORD.findall(text) if text.isascii() else _WORD.findall(text)
-
-
-#: A bare entry has at most so many characters.
-LONGEST_ENTRY = 120
-
-
-def is_entry(line: str) -> bool:
-    """Whether a line is a bare entry: few words that make no sentence."""
-    if len(line) > LONGEST_ENTRY:
-        return False
-    marker = _MARKER.match(line)
-    bare = _AMOUNT.sub(" ", line[marker.end() :] if marker else line).strip()
-    wide = 0 if bare.isascii() else len(_SPACED_OUT.findall(bare))
-    if wide:
-        return wide <= 7 and not _ENDED.search(bare.rstrip(":;"))
-    words = [w.lower() for w in words_in(bare)]
-    if not words:
-        return bool(marker)
-    common = sum(w in _COMMON for w in words)
-    if any(ord(w[0]) > 0x36F for w in words):
-        return len(words) - 1 + 2 * common <= (2 if marker else 1)
-    if marker:
-        return len(words) <= 5 and common <= 1
-    return len(words) <= 4 and common <= 1 and not (bare[-1:] in "!?" or (bare[-1:] == "." and common))
-
-
-_KINDS: dict[str, str] = {}
-
-
-def _kind(c: str) -> str:
-    """Space, symbol, digit, kana, other letters written without spaces, or any other letter; remembered."""
-    if len(_KINDS) > 100_000:
-        _KINDS.clear()
-    if c.isspace():
-        kind = " "
-    elif _SYMBOL.match(c):
-        kind = "s"
-    elif _DIGIT.match(c):
-        kind = "d"
-    else:
-        kind = ("k" if _KANA.match(c) else "w") if _SPACED_OUT.match(c) else "l"
-    _KINDS[c] = kind
-    return kind
-
-
-_ODD: dict[str, bool] = {}
-
-
-def _odd(word: str) -> bool:
-    """Whether a word mixes letters, digits and cases, or holds letters no word has side by side; remembered."""
-    if len(_ODD) > 300_000:
-        _ODD.clear()
-    low = word.lower()
-    out = bool(_MIXED.search(word)) or (len(word) > 2 and bool(_LATIN.match(low)) and bool(_CLUSTER.search(low)))
-    if len(word) < 64:
-        _ODD[word] = out
+_ENDS = regex.compile(r"[\p{Sentence_Terminal}…]")
+_CLOSES = regex.compile(r"[\p{Pe}\p{Pf}\"'*_]")
+_OPENS = regex.compile(r"[\p{Ps}\p{Pi}\"'¡¿]")
+ENDS, CLOSES, OPENS = 1, 2, 4
+#: Closing signs that may follow the end of a sentence.
+MOST_CLOSING = 6
+
+_KIND = np.full(0x110000, 255, dtype=np.uint8)
+_ROLE = np.zeros(0x110000, dtype=np.uint8)
+_FOLD = np.zeros(0x110000, dtype=np.uint32)
+_SLOT = np.zeros(0x110000, dtype=np.uint8)
+_VALUE = np.zeros(0x110000, dtype=np.uint64)
+
+
+def _learn(codes: np.ndarray) -> None:
+    """Fill the tables for signs not met before."""
+    for c in np.unique(codes).tolist():
+        sign = chr(c)
+        _KIND[c] = next((kind for kind, of in _CLASSES if of.match(sign)), SYMBOL)
+        _ROLE[c] = (ENDS if _ENDS.match(sign) else 0) | (CLOSES if _CLOSES.match(sign) else 0) | (OPENS if _OPENS.match(sign) else 0)
+        low = sign.lower()
+        folded = ord(low) if len(low) == 1 else c
+        mixed = (folded + 1) * 0xD6E8FEB86659FD93 % (1 << 64)
+        _VALUE[c], _SLOT[c] = mixed ^ mixed >> 32, mixed >> 56
+        # in pairs of signs all digits are alike, and all white space
+        _FOLD[c] = 48 if _KIND[c] == DIGIT else 32 if _KIND[c] <= SPACE else folded
+
+
+_BASE, _INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_POWERS = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0..n of the hash base and of its inverse."""
+    if len(_POWERS[0]) <= n:
+        for k, base in enumerate((_BASE, _INVERSE)):
+            steps = np.full(max(n + 1, BATCH_SIGNS), base, dtype=np.uint64)
+            steps[0] = 1
+            _POWERS[k] = np.cumprod(steps, dtype=np.uint64)
+    return _POWERS[0], _POWERS[1]
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
+def _sums(values: np.ndarray) -> np.ndarray:
+    """Sums before each place, and the whole sum."""
+    out = np.zeros(len(values) + 1, dtype=np.float64 if values.dtype == np.float64 else np.int32)
+    np.cumsum(values, out=out[1:], dtype=out.dtype)
     return out
 
 
-#: Signs of which machine residue has at least one, beside names and hexadecimal numbers.
-_MACHINE_SIGNS = frozenset("<{&%\\[(_")
-_MACHINE_NAMES = ("0x", "undefined", "NaN", "null", "NULL", "None", "ERR")
-
-
-def measure(text: str | None) -> tuple[int, ...]:
-    """The measures named in NAMES; 0 where there is nothing to measure."""
-    text = text or ""
-    lines = [line for line in text.splitlines() if line.strip()]
-    found = words_in(text)
-    words = [w.lower() for w in found]
-    n = len(words)
-    counts = Counter(text)
-    kinds = dict.fromkeys(" sdkwl", 0)
-    top = 0
-    for c, k in counts.items():
-        kind = _KINDS.get(c) or _kind(c)
-        kinds[kind] += k
-        if kind != " " and k > top:
-            top = k
-    signs = len(text) - kinds[" "]
-    wide = kinds["k"] + kinds["w"]
-    if wide * 2 > signs:
-        common = _per_mille(kinds["k"], wide)
-    else:
-        common = _per_mille(sum(w in _COMMON for w in words), n)
-    row_share, cell_share = table_shape(lines) if len(lines) > 1 else (0, 0)
-    repeated = max((sum(map(eq, words, words[step:])) for step in (1, 2, 3)), default=0) if n > 3 else 0
-    odd = 0
-    for w in found:
-        known = _ODD.get(w)
-        odd += _odd(w) if known is None else known
-    long = sum(map(len, _LONG.findall(text))) if max(map(len, text.split()), default=0) >= 24 else 0
-    machine = sum(len(m) for m in _MACHINE.findall(text)) if not _MACHINE_SIGNS.isdisjoint(counts) or any(name in text for name in _MACHINE_NAMES) else 0
-    garbled = 0 if text.isascii() else sum(len(m) for m in _GARBLED.findall(text))
-    return (
-        n,
-        int(10 * sum(map(len, words)) // n) if n else 0,
-        _per_mille(kinds["s"], signs),
-        _per_mille(kinds["d"], signs),
-        _per_mille(sum(bool(_ENDED.search(line.rstrip()[-32:])) for line in lines), len(lines)),
-        common,
-        len(lines),
-        _per_mille(sum(map(is_entry, lines)), len(lines)),
-        row_share,
-        cell_share,
-        _per_mille(top, signs),
-        _per_mille(repeated, n),
-        _per_mille(odd, n),
-        _per_mille(long, signs),
-        _per_mille(machine, len(text)),
-        _per_mille(garbled, len(text)),
-        signs,
-    )
+def _per_mille(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    return np.where(whole > 0, 1000 * part // np.maximum(whole, 1), 0).astype(np.int64)
+
+
+@dataclass(frozen=True)
+class Usage:
+    """What is usual in a corpus, in tables of a fixed size.
+
+    ``words`` has by the lowest bits of a word's hash 1 if it is known and 3 if it is common too; ``pairs`` and
+    ``signs`` are counts by bucket.
+    """
+
+    words: np.ndarray
+    pairs: np.ndarray
+    signs: np.ndarray
+
+    @cached_property
+    def seen(self) -> np.ndarray:
+        return np.log2(self.pairs + UNSEEN).astype(np.float32)
+
+    @cached_property
+    def led(self) -> np.ndarray:
+        return np.log2(self.signs + FOLLOWERS * UNSEEN).astype(np.float32)
+
+
+class Batch:
+    """Several texts end to end, each followed by a line end."""
+
+    def __init__(self, texts: list[str | None]):
+        whole = [t or "" for t in texts]
+        self.n = len(whole)
+        self.ends = np.cumsum([len(t) + 1 for t in whole], dtype=np.int64)
+        self.starts = np.concatenate([[0], self.ends[:-1]]).astype(np.int64)
+        self.codes = np.frombuffer(("\n".join(whole) + "\n").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        kind = _KIND[self.codes]
+        if (new := kind == 255).any():
+            _learn(self.codes[new])
+            kind = _KIND[self.codes]
+        self.kind = kind
+        self.sign = kind > SPACE
+        self.text = np.repeat(np.arange(self.n, dtype=np.int32), self.ends - self.starts)
+
+    def by_text(self, values: np.ndarray) -> np.ndarray:
+        """The sum of each text's values."""
+        return np.add.reduceat(values, self.starts, dtype=np.float64 if values.dtype == np.float32 else np.int64)
+
+    @cached_property
+    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Place, hash and length of every word, and whether it begins with a digit.
+
+        A word is a run of letters, marks and digits; where a script sets no spaces, each pair of
+        neighbouring signs is a word, and a sign alone.
+        """
+        plain = (self.kind >= DIGIT) & (self.kind < UNSPACED)
+        edge = np.flatnonzero(np.diff(plain, prepend=False))
+        at, end = edge[0::2], edge[1::2]
+        powers, inverse = _powers(len(self.codes))
+        sums = np.zeros(len(self.codes) + 1, dtype=np.uint64)
+        np.cumsum(_VALUE[self.codes] * powers[: len(self.codes)], out=sums[1:])
+        hashes = _mixed((sums[end] - sums[at]) * inverse[at])
+        bare = self.kind[at] == DIGIT
+        length = end - at
+        unspaced = self.kind == UNSPACED
+        if unspaced.any():
+            follows = np.append(unspaced[1:], False)
+            leads = np.append(False, unspaced[:-1])
+            first = np.flatnonzero(unspaced & (follows | ~leads))
+            size = np.where(follows[first], 2, 1)
+            pair = _mixed((sums[first + size] - sums[first]) * inverse[first])
+            at, hashes = np.concatenate([at, first]), np.concatenate([hashes, pair])
+            length, bare = np.concatenate([length, size]), np.concatenate([bare, np.zeros(len(first), dtype=bool)])
+            order = np.argsort(at, kind="stable")
+            at, hashes, length, bare = at[order], hashes[order], length[order], bare[order]
+        return at, hashes, length, bare
+
+    @cached_property
+    def text_of_words(self) -> np.ndarray:
+        return self.text[self.words[0]]
+
+    @cached_property
+    def word_sets(self) -> tuple[np.ndarray, np.ndarray]:
+        """Text and hash of the different words of every text."""
+        keys = self.words[1] + self.text_of_words.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        _, first = np.unique(keys, return_index=True)
+        return self.text_of_words[first], self.words[1][first]
+
+    @cached_property
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Buckets of all pairs of neighbouring signs, buckets of their first signs, and which pairs count."""
+        c = _FOLD[self.codes]
+        first, second = c[:-1], c[1:]
+        counted = self.sign[:-1] | self.sign[1:]
+        counted[self.ends[:-1] - 1] = False
+        lone = first * np.uint32(0x9E3779B1)
+        both = (lone ^ (second * np.uint32(0x85EBCA6B))) * np.uint32(0xC2B2AE35)
+        return both >> np.uint32(16), lone >> np.uint32(18), counted
+
+    def lines(self) -> dict[str, np.ndarray]:
+        """Every line that has a sign: its text, bounds, first and last sign."""
+        end = np.flatnonzero(self.kind == LINE_END)
+        start = np.concatenate([[0], end[:-1] + 1])
+        places = np.flatnonzero(self.sign)
+        lo, hi = np.searchsorted(places, start), np.searchsorted(places, end)
+        full = hi > lo
+        start, end, lo, hi = start[full], end[full], lo[full], hi[full]
+        return {"text": self.text[start], "start": start, "end": end, "first": places[lo], "last": places[hi - 1]}
+
+
+def _ended(b: Batch, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Whether lines end a sentence; up to MOST_CLOSING closing signs may follow."""
+    at = last.copy()
+    for _ in range(MOST_CLOSING):
+        at -= ((_ROLE[b.codes[at]] & (CLOSES | ENDS)) == CLOSES) & (at > first)
+    return (_ROLE[b.codes[at]] & ENDS) > 0
+
+
+def _marked(b: Batch, first: np.ndarray) -> np.ndarray:
+    """Whether lines begin with a mark: a symbol, or a short number or letter closed by a symbol and a space."""
+    kind = b.kind
+    opens = (_ROLE[b.codes[first]] & OPENS) > 0
+    out = (kind[first] == SYMBOL) & ~opens
+    boxed = np.zeros(len(first), dtype=bool)
+    n = len(kind) - 1
+    inside = np.ones(len(first), dtype=bool)
+    for k in range(1, 4):
+        at, behind = np.minimum(first + k, n), np.minimum(first + k + 1, n)
+        inside &= (kind[np.minimum(first + k - 1, n)] >= DIGIT) | ((k == 1) & opens)
+        boxed |= inside & (kind[at] == SYMBOL) & (kind[behind] == SPACE)
+    opened = (kind[first] == SYMBOL) & (kind[np.minimum(first + 2, n)] == SYMBOL) & (kind[np.minimum(first + 3, n)] == SPACE)
+    return out | boxed | opened
+
+
+def _rows(b: Batch, lines: dict[str, np.ndarray], body: np.ndarray, n_body: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The share of lines with the commonest number of one separator, and that number; the best separator counts."""
+    text, first, last = lines["text"][body], lines["first"][body], lines["last"][body]
+    gap = (b.kind[:-1] == SPACE) & (b.kind[1:] == SPACE)
+    gap[1:] &= ~gap[:-1]
+    best, number = np.zeros(b.n, dtype=np.int64), np.zeros(b.n, dtype=np.int64)
+    if not len(text):
+        return best, number
+    for is_separator in (*(b.codes == ord(s) for s in "\t|│;,"), gap):
+        at = np.flatnonzero(is_separator)
+        if not len(at):
+            continue
+        line = np.maximum(np.searchsorted(first, at, side="right") - 1, 0)
+        # neither a frame around the row nor a sign at its end parts cells
+        count = np.minimum(np.bincount(line[(first[line] < at) & (at < last[line])], minlength=len(first)), 999)
+        key, lines_of = np.unique((text * 1000 + count)[count > 0], return_counts=True)
+        share = 1000 * lines_of // n_body[key // 1000]
+        order = np.lexsort((key % 1000, share, key // 1000))
+        top = order[np.append(np.diff(key[order] // 1000) != 0, True)] if len(order) else order
+        at = key[top] // 1000
+        better = share[top] > best[at]
+        best[at[better]], number[at[better]] = share[top][better], (key[top] % 1000)[better]
+    return best, number
+
+
+def _repeats(b: Batch) -> np.ndarray:
+    """The share of pairs of neighbouring words that stood in the text before."""
+    hashes, text = b.words[1], b.text_of_words
+    if len(hashes) < 2:
+        return np.zeros(b.n, dtype=np.int64)
+    same = text[1:] == text[:-1]
+    keys = (hashes[:-1] * _BASE + hashes[1:] + text[1:].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))[same]
+    where = text[1:][same]
+    _, first = np.unique(keys, return_index=True)
+    total, different = np.bincount(where, minlength=b.n), np.bincount(where[first], minlength=b.n)
+    return _per_mille(total - different, total)
+
+
+def measure(texts: list[str | None], usage: Usage) -> np.ndarray:
+    """One row of the measures in NAMES for each text; 0 where there is nothing to measure."""
+    b = Batch(texts)
+    kind, sign = b.kind, b.sign
+    kinds = np.bincount(b.text << 3 | kind, minlength=b.n << 3).reshape(b.n, 8)
+    signs = kinds[:, SYMBOL:].sum(axis=1)
+    at, hashes, length, bare_number = b.words
+    word_text = b.text_of_words
+    n_words = np.bincount(word_text, minlength=b.n)
+    mark = usage.words[(hashes & np.uint64(WORD_BUCKETS - 1)).astype(np.int64)]
+    known, common = mark > 0, mark > 1
+
+    lines = b.lines()
+    n_lines = np.bincount(lines["text"], minlength=b.n)
+    ended = _ended(b, lines["first"], lines["last"])
+    marked = _marked(b, lines["first"])
+    lo, hi = np.searchsorted(at, lines["start"]), np.searchsorted(at, lines["end"])
+    lettered, commons = _sums(~bare_number), _sums(common)
+    line_words, line_common = lettered[hi] - lettered[lo], commons[hi] - commons[lo]
+    is_body = hi > lo
+    n_body = np.bincount(lines["text"][is_body], minlength=b.n)
+    bare = is_body & ~ended & (line_words <= BARE_WORDS) & (line_common <= BARE_COMMON)
+    share_of_lines = lambda mask: _per_mille(np.bincount(lines["text"][mask], minlength=b.n), n_lines)
+    row_share, line_cells = _rows(b, lines, is_body, n_body)
+
+    # runs of signs without white space
+    edge = np.flatnonzero(np.diff(sign, prepend=False))
+    t_at, t_end = edge[0::2], edge[1::2]
+    long = t_end - t_at >= LONG_TOKEN
+    t_at, t_end = t_at[long], t_end[long]
+    spaced = (kind[t_at] != UNSPACED) & (kind[(t_at + t_end) // 2] != UNSPACED)
+    t_at, t_end = t_at[spaced], t_end[spaced]
+    coarse = np.where(kind == UNSPACED, OTHER, kind)
+    change = (coarse[1:] != coarse[:-1]) & sign[1:] & sign[:-1] & ~((coarse[:-1] == UPPER) & (coarse[1:] == LOWER))
+    switches = b.by_text(np.append(change, False))
+
+    histogram = np.bincount(b.text << 8 | _SLOT[b.codes], weights=sign, minlength=b.n << 8).astype(np.int64)
+    used = np.flatnonzero(histogram)
+    p = histogram[used] / signs[used >> 8]
+    entropy = np.bincount(used >> 8, weights=-p * np.log2(p), minlength=b.n)
+
+    pair, lone, counted = b.pairs
+    bits = (usage.led[lone] - usage.seen[pair]) * counted
+    surprisal = b.by_text(np.append(bits, np.float32(0))) / np.maximum(b.by_text(np.append(counted, False)), 1)
+
+    def words_where(mask: np.ndarray) -> np.ndarray:
+        return np.bincount(word_text[mask], minlength=b.n)
+
+    columns = {
+        "n_words": n_words,
+        "word_length": 10 * np.bincount(word_text, weights=length, minlength=b.n).astype(np.int64) // np.maximum(n_words, 1),
+        "symbol_share": _per_mille(kinds[:, SYMBOL], signs),
+        "digit_share": _per_mille(kinds[:, DIGIT], signs),
+        "ended_share": share_of_lines(ended),
+        "common_share": _per_mille(words_where(common), n_words),
+        "known_share": _per_mille(words_where(known), n_words),
+        "n_lines": n_lines,
+        "line_words": 10 * n_words // np.maximum(n_lines, 1),
+        "bare_share": share_of_lines(bare),
+        "marked_share": share_of_lines(marked),
+        "entry_share": share_of_lines(bare | marked & (line_words <= ENTRY_WORDS) & (line_common <= ENTRY_COMMON)),
+        "said_share": share_of_lines(ended & ~(marked & (line_words <= BARE_WORDS)) | (line_common > ENTRY_COMMON)),
+        "row_share": row_share,
+        "line_cells": line_cells,
+        "data_share": _per_mille(words_where(bare_number), n_words),
+        "top_share": _per_mille(histogram.reshape(b.n, 256).max(axis=1), signs),
+        "entropy": np.round(100 * entropy).astype(np.int64),
+        "repeat_share": _repeats(b),
+        "surprisal": np.round(100 * np.maximum(surprisal, 0)).astype(np.int64),
+        "switch_share": _per_mille(switches, signs),
+        "long_share": _per_mille(np.bincount(b.text[t_at], weights=t_end - t_at, minlength=b.n).astype(np.int64), signs),
+        "n_signs": signs,
+    }
+    return np.minimum(np.stack([columns[n] for n in NAMES], axis=1), np.iinfo(np.int32).max).astype(np.int32)
+
+
+def slices(texts: list[str | None]):
+    """Bounds of runs of texts of about BATCH_SIGNS signs."""
+    first = total = 0
+    for i, t in enumerate(texts):
+        size = len(t) + 1 if t else 1
+        if i > first and total + size > BATCH_SIGNS:
+            yield first, i
+            first, total = i, 0
+        total += size
+    if first < len(texts):
+        yield first, len(texts)

@@ -55,12 +55,12 @@ def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts that are lists, tables or junk."""
-    return quality.forms(table(spark, sf_dir, "documents"))
+    return quality.forms(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels"))
 
 
 def p8_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The measures and outlier scores of every text."""
-    return quality.scored(table(spark, sf_dir, "documents"))
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_records, p2_all_records, p6_ids, p7_found, p7_spans, p7_items, p8_found, p8_stats)}
