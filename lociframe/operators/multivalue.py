@@ -1,10 +1,11 @@
 """Several values packed into one field: one row a value, in order.
 
-Delimiters differ between and within sources.  For every source and field the
-candidates are scored on how alike the numbers of pieces are and how regular the
-pieces look; a field is split at the best-scored candidate it holds, and pieces
-that are not one plain value are refined by the grammar of the field.  Fields with
-quotes, where a delimiter may be part of a value, are read by the grammar alone.
+Delimiters differ between and within sources.  The candidates of a source and
+field are all signs found there that no value holds; they are scored on how alike
+the numbers of pieces are that they cut fields into and how regular the pieces
+look.  A field is then cut at the delimiters of its source, the best first, and
+what lies between is a value.  Quotes are read before, as a delimiter within them
+is part of the value.
 """
 
 from __future__ import annotations
@@ -20,14 +21,15 @@ from lociframe.plans.joins import sized_join
 
 #: Characters of values beside ASCII letters and digits (fixed values of the fields).
 EXTRA = {"id": "_.:-", "alt_allele": "<>*:_[]"}
-#: Delimiters that are scored for each source.
-CANDIDATES = (";", ",", "|", "/", "&", "+", " ", "\t")
 QUOTES = "[\"']"
+_QUOTED = re.compile(r"\"([^\"]*+(?:\"\"[^\"]*+)*+)\"|'([^']*+(?:''[^']*+)*+)'|([^\"']++)")
+#: Stands for a quoted value where delimiters are inferred.
+STAND_IN = "x"
 
 
-def value_class(field: str) -> str:
-    """The characters of a value of ``field`` as a class that Java and Python read alike."""
-    return "[A-Za-z0-9" + "".join("\\" + c for c in EXTRA[field]) + "]"
+def value_class(field: str, but: bool = False) -> str:
+    """The characters of a value of ``field`` as a class that Java and Python read alike; with ``but`` all others beside quotes."""
+    return ("[^\"'" if but else "[") + "A-Za-z0-9" + "".join("\\" + c for c in EXTRA[field]) + "]"
 
 
 def _long(rows: DataFrame, fields: tuple[str, ...]) -> DataFrame:
@@ -42,49 +44,77 @@ def _per_field(fields: tuple[str, ...], of) -> Column:
     return out
 
 
+def read_quotes(text: str) -> list[tuple[bool, str]]:
+    """The parts of a text: whether it was quoted, and the part without its quotes; an unclosed quote only parts."""
+    found = _QUOTED.finditer(text)
+    return [(False, m[3]) if m[3] is not None else (True, m[1].replace('""', '"') if m[1] is not None else m[2].replace("''", "'")) for m in found]
+
+
+@F.pandas_udf(T.StringType())
+def _outside(text: pd.Series) -> pd.Series:
+    return pd.Series(["".join(STAND_IN if quoted else part for quoted, part in read_quotes(t)) for t in text], dtype=object)
+
+
+def outside_quotes(long: DataFrame) -> DataFrame:
+    """``long`` with STAND_IN for each quoted value of a field."""
+    quoted = F.col("packed").rlike(QUOTES)
+    return long.where(~quoted).unionByName(long.where(quoted).withColumn("packed", _outside("packed")))
+
+
+def _cut(text: Column | str, delimiter: Column) -> Column:
+    """The pieces of a text between occurrences of a delimiter, which is taken literally."""
+    return F.split(text, F.concat(F.lit("\\Q"), delimiter, F.lit("\\E")), -1)
+
+
 def delimiter_scores(long: DataFrame, fields: tuple[str, ...]) -> DataFrame:
-    """``source, field_name, delimiter, n_fields, score`` over all fields without quotes.
+    """``source, field_name, delimiter, n_fields, score`` over all fields, without what is quoted.
 
-    The score is the product of the share of regular pieces, the share of the
-    commonest number of pieces among fields with the delimiter, and the share of
-    such fields among all of the source that hold any candidate, each smoothed by one.
+    The score is the share of regular pieces, which are one value each, times the
+    share of the commonest number of pieces among the fields with the delimiter;
+    both are drawn towards a half where there are few pieces or fields.
     """
-    plain = long.where(~F.col("packed").rlike(QUOTES))
-    tried = plain.select("source", "field_name", "packed", F.explode(F.array(*map(F.lit, CANDIDATES))).alias("delimiter")).where(F.contains("packed", "delimiter"))
-    pieces = F.filter(F.transform(F.split("packed", F.concat(F.lit("\\Q"), "delimiter", F.lit("\\E")), -1), F.trim), lambda p: p != "")
+    others = _per_field(fields, lambda f: F.array_distinct(F.regexp_extract_all("packed", F.lit(f"({value_class(f, but=True)})"))))
+    tried = outside_quotes(long).select("source", "field_name", "packed", F.explode(others).alias("delimiter"))
+    pieces = F.filter(F.transform(_cut("packed", F.col("delimiter")), lambda p: F.trim(p)), lambda p: p != "")
     regular = _per_field(fields, lambda f: F.size(F.filter("pieces", lambda p: p.rlike(f"\\A{value_class(f)}+\\z"))))
     counted = tried.withColumn("pieces", pieces).select("source", "field_name", "delimiter", F.size("pieces").alias("n"), regular.alias("n_regular"))
     by_number = counted.groupBy("source", "field_name", "delimiter", "n").agg(F.count("*").alias("rows"), F.sum("n_regular").alias("n_regular"))
     by_delimiter = by_number.groupBy("source", "field_name", "delimiter").agg(F.sum("rows").alias("n_fields"), F.max("rows").alias("modal"), F.sum(F.col("n") * F.col("rows")).alias("n_pieces"), F.sum("n_regular").alias("n_regular"))
-    total = by_delimiter.groupBy("source", "field_name").agg(F.sum("n_fields").alias("n_all"))
-    scored = by_delimiter.join(total, ["source", "field_name"])
-    score = (F.col("n_regular") + 1) / (F.col("n_pieces") + 1) * (F.col("modal") + 1) / (F.col("n_fields") + 1) * (F.col("n_fields") + 1) / (F.col("n_all") + 1)
-    return scored.select("source", "field_name", "delimiter", "n_fields", score.alias("score"))
+    score = (F.col("n_regular") + 1) / (F.col("n_pieces") + 2) * ((F.col("modal") + 1) / (F.col("n_fields") + 2))
+    return by_delimiter.select("source", "field_name", "delimiter", "n_fields", score.alias("score"))
 
 
 def delimiter_ranks(scores: DataFrame) -> DataFrame:
-    """One row a source and field: ``delimiters``, all candidates found there, best first."""
+    """One row a source and field: ``delimiters``, all delimiters found there, best first."""
     ordered = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "delimiter")))
     return scores.groupBy("source", "field_name").agg(F.transform(ordered, lambda x: x["delimiter"]).alias("delimiters"))
 
 
-def read_quoted(text: str, field: str) -> list[str]:
-    """Values of a text by the grammar: quoted ones without their quotes, and runs of value characters."""
-    found = re.finditer(r"\"([^\"]*+(?:\"\"[^\"]*+)*+)\"|'([^']*+(?:''[^']*+)*+)'|(" + value_class(field) + "+)", text)
-    out = []
-    for m in found:
-        if m[1] is not None:
-            out.append(m[1].replace('""', '"'))
-        elif m[2] is not None:
-            out.append(m[2].replace("''", "'"))
-        else:
-            out.append(m[3])
-    return [v for v in out if v]
+@F.pandas_udf(T.ArrayType(T.StructType().add("quoted", T.BooleanType()).add("part", T.StringType())))
+def _parts(text: pd.Series) -> pd.Series:
+    return pd.Series([[{"quoted": q, "part": p} for q, p in read_quotes(t)] for t in text], dtype=object)
+
 
+def cut_at(text: Column, delimiters: Column) -> Column:
+    """The values of a text: cut at those of ``delimiters`` it holds, one after another, without empty pieces."""
+    held = F.filter(delimiters, lambda d: F.contains(text, d))
+    pieces = F.aggregate(held, F.array(text), lambda pieces, d: F.flatten(F.transform(pieces, lambda p: _cut(p, d))))
+    return F.filter(pieces, lambda p: p != "")
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _quoted_values(text: pd.Series, field: pd.Series) -> pd.Series:
-    return pd.Series([read_quoted(t, f) for t, f in zip(text, field)], dtype=object)
+
+def split_values(long: DataFrame, ranks: DataFrame) -> DataFrame:
+    """``long`` rows with the array ``items``: their fields cut at the delimiters that ``ranks`` has for their source.
+
+    A sign that isn't among the delimiters stays in the value.
+    """
+    group = F.concat("field_name", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
+    known = sized_join(long.withColumn("group", group), ranks.select(group.alias("group"), "delimiters"), "group", "left", spread_by="variant_idx")
+    known = known.withColumn("delimiters", F.coalesce("delimiters", F.array().cast("array<string>")))
+    quoted = F.col("packed").rlike(QUOTES)
+    plain = known.where(~quoted).withColumn("items", cut_at(F.col("packed"), F.col("delimiters")))
+    parts = known.where(quoted).withColumn("parts", _parts("packed"))
+    read = F.flatten(F.transform("parts", lambda p: F.when(p["quoted"], F.filter(F.array(p["part"]), lambda v: v != "")).otherwise(cut_at(p["part"], F.col("delimiters")))))
+    return plain.unionByName(parts.withColumn("items", read).drop("parts")).drop("group", "delimiters")
 
 
 def packed_values(rows: DataFrame, fields: tuple[str, ...] = ("id", "alt_allele"), at_least: int = 2) -> DataFrame:
@@ -96,20 +126,7 @@ def packed_values(rows: DataFrame, fields: tuple[str, ...] = ("id", "alt_allele"
     for one; an unclosed quote only parts values.
     """
     long = _long(rows, fields)
-    plain = long.where(~F.col("packed").rlike(QUOTES))
     ranks = delimiter_ranks(delimiter_scores(long, fields))
-    group = F.concat("field_name", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
-    ranks = ranks.select(group.alias("group"), "delimiters")
-    known = sized_join(plain.withColumn("group", group), ranks, "group", "left", spread_by="variant_idx")
-    best = F.get(F.filter("delimiters", lambda d: F.contains(F.col("packed"), d)), F.lit(0))
-    pieces = F.when(F.col("delimiter").isNull(), F.array("packed")).otherwise(F.split("packed", F.concat(F.lit("\\Q"), "delimiter", F.lit("\\E")), -1))
-
-    def refine(f: str) -> Column:
-        one = f"\\A{value_class(f)}+\\z"
-        run = F.lit(f"({value_class(f)}+)")
-        return F.flatten(F.transform("pieces", lambda p: F.when(p.rlike(one), F.array(p)).otherwise(F.regexp_extract_all(p, run))))
-
-    split = known.withColumn("delimiter", best).withColumn("pieces", pieces).select("variant_idx", "field_name", _per_field(fields, refine).alias("items"))
-    quoted = long.where(F.col("packed").rlike(QUOTES)).select("variant_idx", "field_name", _quoted_values("packed", "field_name").alias("items"))
-    items = split.unionByName(quoted).where(F.size("items") >= at_least)
+    several = long.where(_per_field(fields, lambda f: F.col("packed").rlike(f"{value_class(f, but=True)}|{QUOTES}"))) if at_least > 1 else long
+    items = split_values(several, ranks).where(F.size("items") >= at_least)
     return items.select("variant_idx", "field_name", F.posexplode("items").alias("at", "item")).select("variant_idx", "field_name", (F.col("at") + 1).cast("int").alias("ord"), "item")

@@ -79,10 +79,13 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_delimiters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The delimiters inferred for each source and field, best first."""
+    """The delimiters inferred for each source and field, best first, with their scores."""
     fields = ("id", "alt_allele")
-    ranks = multivalue.delimiter_ranks(multivalue.delimiter_scores(multivalue._long(table(spark, sf_dir, "variants"), fields), fields))
-    return ranks.select("source", "field_name", F.posexplode("delimiters").alias("place", "delimiter"))
+    scores = multivalue.delimiter_scores(multivalue._long(table(spark, sf_dir, "variants"), fields), fields)
+    places = multivalue.delimiter_ranks(scores).select("source", "field_name", F.posexplode("delimiters").alias("place", "delimiter"))
+    return places.join(scores.withColumnRenamed("source", "s"), (F.col("s").eqNullSafe(F.col("source"))) & (places.field_name == scores.field_name) & (places.delimiter == scores.delimiter)).select(
+        "source", places.field_name, places.delimiter, (F.col("place") + 1).alias("place"), "n_fields", F.round("score", 9).alias("score")
+    )
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -171,4 +174,26 @@ items AS (
   SELECT variant_idx, field_name, list_filter(list_transform(m, lambda v: CASE WHEN v LIKE '"%' THEN replace(v[2:-2], '""', '"')
     WHEN v LIKE '''%' THEN replace(v[2:-2], '''''', '''') ELSE v END), lambda v: v <> '') AS items FROM long)
 SELECT variant_idx, field_name, unnest(range(1, len(items) + 1))::INTEGER AS ord, unnest(items) AS item FROM items WHERE len(items) >= 2""",
+    "p5_delimiters": r"""
+WITH long AS (
+  SELECT source_format AS source, 'id' AS field_name, '[A-Za-z0-9_.:-]' AS c, '[^A-Za-z0-9_.:-]' AS other, id AS packed FROM variants
+  UNION ALL SELECT source_format, 'alt_allele', '[A-Za-z0-9<>*:_\[\]]', '[^A-Za-z0-9<>*:_\[\]]', alt_allele FROM variants),
+shown AS (
+  SELECT source, field_name, c, other,
+    regexp_replace(regexp_replace(packed, '"[^"]*(?:""[^"]*)*"|''[^'']*(?:''''[^'']*)*''', 'x', 'g'), '["'']', '', 'g') AS packed
+  FROM long WHERE packed IS NOT NULL),
+tried AS (SELECT source, field_name, c, packed, unnest(list_distinct(regexp_extract_all(packed, other))) AS delimiter FROM shown),
+cut AS (
+  SELECT source, field_name, delimiter, list_filter(list_transform(string_split(packed, delimiter), lambda p: trim(p, ' ')), lambda p: p <> '') AS pieces, c FROM tried),
+numbered AS (
+  SELECT source, field_name, delimiter, len(pieces) AS n, count(*) AS n_rows,
+    sum(len(list_filter(pieces, lambda p: regexp_full_match(p, c || '+')))) AS n_regular
+  FROM cut GROUP BY ALL),
+scored AS (
+  SELECT source, field_name, delimiter, sum(n_rows)::BIGINT AS n_fields,
+    (sum(n_regular) + 1)::DOUBLE / (sum(n * n_rows) + 2)::DOUBLE * ((max(n_rows) + 1)::DOUBLE / (sum(n_rows) + 2)::DOUBLE) AS score
+  FROM numbered GROUP BY ALL)
+SELECT source, field_name, delimiter, (row_number() OVER (PARTITION BY source, field_name ORDER BY score DESC, delimiter))::INTEGER AS place,
+  n_fields, round(score, 9) AS score
+FROM scored""",
 }

@@ -81,3 +81,26 @@ def test_delimiters_are_ranked_for_each_source(spark):
     scores = m.delimiter_scores(m._long(spark.createDataFrame(rows, SCHEMA), fields), fields)
     best = {(r.source, r.field_name): r.delimiters[0] for r in m.delimiter_ranks(scores).collect()}
     assert best == {("semi", "id"): ";", ("semi", "alt_allele"): ",", ("bar", "id"): "|", ("bar", "alt_allele"): "/"}
+
+
+def split(spark, texts, delimiters):
+    long = spark.createDataFrame([(k, "s", "id", t) for k, t in enumerate(texts)], "variant_idx long, source string, field_name string, packed string")
+    ranks = spark.createDataFrame([("s", "id", delimiters)], "source string, field_name string, delimiters array<string>")
+    return {r.variant_idx: r["items"] for r in m.split_values(long, ranks).collect()}
+
+
+def test_the_inferred_delimiters_do_the_parting(spark):
+    texts = ["a;b,c", '"x;y";z,w', "a|b"]
+    assert split(spark, texts, [";", ","]) == {0: ["a", "b", "c"], 1: ["x;y", "z", "w"], 2: ["a|b"]}
+    assert split(spark, texts, ["|"]) == {0: ["a;b,c"], 1: ["x;y", ";z,w"], 2: ["a", "b"]}
+    assert split(spark, texts, []) == {0: ["a;b,c"], 1: ["x;y", ";z,w"], 2: ["a|b"]}
+
+
+def test_consistent_numbers_of_pieces_score_higher(spark):
+    even = [(k, "a;b,c", None, "s", "", 0) for k in range(12)]
+    uneven = [(50 + k, ",".join("d" * (2 + k % 4)), None, "s", "", 0) for k in range(12)]
+    odd = [(80 + k, "e/ é", None, "s", "", 0) for k in range(12)]
+    scores = m.delimiter_scores(m._long(spark.createDataFrame(even + uneven + odd, SCHEMA), ("id",)), ("id",))
+    by = {r.delimiter: r.score for r in scores.collect()}
+    assert by[";"] == pytest.approx(13 / 26 * 13 / 14) and by[";"] != by[","] and set(by) == {";", ",", "/", " ", "é"}
+    assert by["/"] == pytest.approx(13 / 26 * 13 / 14)
