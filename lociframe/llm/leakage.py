@@ -2,9 +2,11 @@
 
 Texts are words without case and accents.  Of the hashes of all runs of ``SPAN_K``
 words, winnowing keeps the smallest in every window of ``WINDOW`` runs; two texts
-that share ``SPAN_K + WINDOW - 1`` words in a row are then sure to share a kept
-fingerprint at aligned places.  Fingerprints of corpus and held-out items are
-joined, and every hit is extended word by word to the whole shared span.
+that share ``SPAN_K + WINDOW - 1`` words in a row, a whole span, are then sure to
+share a kept fingerprint at aligned places.  Fingerprints of the corpus that no
+held-out item has are dropped; those left are joined by the whole spans around them,
+so that only texts meet that share one, and the hits of a pair are extended along the
+document in one walk through an automaton of the passage.
 """
 
 from __future__ import annotations
@@ -16,10 +18,12 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociframe.plans import Workspace, sized_join
+from lociframe.plans import Workspace, sized_join, skew_join, within
+from lociframe.plans.joins import BROADCAST_ROWS
 
 #: Words in a fingerprinted run, and runs in a window: spans of 10 words are guaranteed.
 SPAN_K, WINDOW = 5, 6
@@ -50,6 +54,17 @@ def _hash(word: str) -> int:
     return h
 
 
+def _run_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of ``k`` words."""
+    n = len(hashes) - k + 1
+    out = np.zeros(n, dtype=np.uint64)
+    for j in range(k):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[j : j + n]
+    out ^= out >> np.uint64(29)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    return out ^ out >> np.uint64(32)
+
+
 def winnow(hashes: np.ndarray, starts: np.ndarray, k: int = SPAN_K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Kept positions and fingerprints of texts laid end to end.
 
@@ -59,14 +74,8 @@ def winnow(hashes: np.ndarray, starts: np.ndarray, k: int = SPAN_K, window: int
     n = len(hashes)
     if n < k + window - 1:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    runs = n - k + 1
-    prints = np.zeros(runs, dtype=np.uint64)
-    for j in range(k):
-        prints = prints * np.uint64(0x9E3779B97F4A7C15) + hashes[j : j + runs]
-    prints ^= prints >> np.uint64(29)
-    prints *= np.uint64(0xBF58476D1CE4E5B9)
-    prints ^= prints >> np.uint64(32)
-    m = runs - window + 1
+    prints = _run_hashes(hashes, k)
+    m = len(prints) - window + 1
     best, at = prints[:m].copy(), np.arange(m)
     for j in range(1, window):
         smaller = prints[j : j + m] <= best
@@ -78,8 +87,18 @@ def winnow(hashes: np.ndarray, starts: np.ndarray, k: int = SPAN_K, window: int
     return kept, prints[kept].view(np.int64)
 
 
-def fingerprints(texts: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """``(id, at, print)``: the kept fingerprints of every text, with their word positions."""
+def spans_around(at: np.ndarray, lo: np.ndarray, hi: np.ndarray, window: int = WINDOW, span: int = SPAN_K + WINDOW - 1) -> tuple[np.ndarray, np.ndarray]:
+    """Which fingerprint, and first word, of all whole spans within ``[lo, hi)`` that a fingerprint at ``at`` lies in."""
+    first = at[:, None] + np.arange(1 - window, 1)[None, :]
+    inside = (first >= lo[:, None]) & (first + span <= hi[:, None])
+    return np.nonzero(inside)[0], first[inside]
+
+
+def fingerprints(texts: DataFrame, id_column: str, text_column: str, among: Broadcast | None = None) -> DataFrame:
+    """``(id, at, print, spans)``: the kept fingerprints of every text, their word positions and the hashes of the whole spans around them.
+
+    ``among`` holds the sorted fingerprints that are wanted; without it all are.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = _HASHES.get
@@ -91,39 +110,75 @@ def fingerprints(texts: DataFrame, id_column: str, text_column: str) -> DataFram
                 for text in part.column(1).to_pylist():
                     hashes.extend([get(w) or _hash(w) for w in words_of(text)])
                     starts.append(len(hashes))
-                bounds = np.array(starts, dtype=np.int64)
-                at, prints = winnow(np.array(hashes, dtype=np.uint64), bounds)
+                bounds, words = np.array(starts, dtype=np.int64), np.array(hashes, dtype=np.uint64)
+                at, prints = winnow(words, bounds)
+                if among is not None and len(at):
+                    wanted = np.isin(prints, among.value)
+                    at, prints = at[wanted], prints[wanted]
                 row = np.searchsorted(bounds, at, side="right") - 1
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array((at - bounds[row]).astype(np.int32)), pa.array(prints)], names=["id", "at", "print"])
+                which, begin = spans_around(at, bounds[row], bounds[row + 1])
+                spans = _run_hashes(words, SPAN_K + WINDOW - 1)[begin].view(np.int64) if len(begin) else np.zeros(0, dtype=np.int64)
+                offsets = np.searchsorted(which, np.arange(len(at) + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(row)), pa.array((at - bounds[row]).astype(np.int32)), pa.array(prints), pa.ListArray.from_arrays(pa.array(offsets), pa.array(spans))],
+                    names=["id", "at", "print", "spans"],
+                )
 
     kind = texts.schema[id_column].dataType.simpleString()
-    return texts.select(id_column, text_column).where(F.col(id_column).isNotNull() & F.col(text_column).isNotNull()).mapInArrow(run, f"id {kind}, at int, print bigint")
-
-
-def longest_span(a: list[str], b: list[str], hits) -> tuple[int, int]:
-    """Start in ``a`` and length of the longest shared run of words through any hit ``(place in a, place in b)``."""
-    best = (0, 0)
-    done: set[tuple[int, int]] = set()
-    for i, j in hits:
-        if i >= len(a) or j >= len(b) or a[i] != b[j]:
-            continue  # a hit of another text under the same id, or of another word with the same hash
-        lo = 0
-        while i - lo > 0 and j - lo > 0 and a[i - lo - 1] == b[j - lo - 1]:
-            lo += 1
-        start = (i - lo, j - lo)
-        if start in done:
-            continue
-        done.add(start)
-        hi = 0
-        while i + hi < len(a) and j + hi < len(b) and a[i + hi] == b[j + hi]:
-            hi += 1
-        if hi and lo + hi > best[1]:
-            best = (i - lo, lo + hi)
-    return best
+    return texts.select(id_column, text_column).where(F.col(id_column).isNotNull() & F.col(text_column).isNotNull()).mapInArrow(run, f"id {kind}, at int, print bigint, spans array<bigint>")
+
+
+class Automaton:
+    """All runs of words of a passage, so that a text is matched against them in one walk.
+
+    The suffix automaton of the passage: it has at most two states a word.
+    """
+
+    def __init__(self, words: list[str]):
+        self.next: list[dict[str, int]] = [{}]
+        self.link, self.length = [-1], [0]
+        last = 0
+        for word in words:
+            state = self._add(self.length[last] + 1, {}, 0)
+            at = last
+            while at >= 0 and word not in self.next[at]:
+                self.next[at][word] = state
+                at = self.link[at]
+            if at >= 0:
+                old = self.next[at][word]
+                if self.length[at] + 1 < self.length[old]:
+                    copy = self._add(self.length[at] + 1, dict(self.next[old]), self.link[old])
+                    while at >= 0 and self.next[at].get(word) == old:
+                        self.next[at][word] = copy
+                        at = self.link[at]
+                    self.link[old] = copy
+                    old = copy
+                self.link[state] = old
+            last = state
+
+    def _add(self, length: int, following: dict[str, int], link: int) -> int:
+        self.next.append(following)
+        self.length.append(length)
+        self.link.append(link)
+        return len(self.length) - 1
+
+    def longest(self, words: list[str]) -> tuple[int, int]:
+        """First place and length of the first longest run in ``words`` that is a run of the passage."""
+        state = length = 0
+        best, end = 0, 0
+        for i, word in enumerate(words):
+            while state and word not in self.next[state]:
+                state = self.link[state]
+                length = self.length[state]
+            if word in self.next[state]:
+                state, length = self.next[state][word], length + 1
+            if length > best:
+                best, end = length, i + 1
+        return end - best, best
 
 
 def leaked_spans(documents: DataFrame, items: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """``(doc_id, eval_id, first_word, n_words)``: the longest shared span of each leaking pair.
+    """``(doc_id, eval_id, first_word, n_words)``: the longest shared span of each leaking pair, of several the first.
 
     ``documents`` has ``doc_id, text``; ``items`` has ``eval_id, passage``.  Pairs
     with at least ``least`` shared words in a row come out once, also if rows are
@@ -133,26 +188,35 @@ def leaked_spans(documents: DataFrame, items: DataFrame, least: int = LEAST_WORD
     if least < SPAN_K + WINDOW - 1:
         raise ValueError(f"spans below {SPAN_K + WINDOW - 1} words aren't guaranteed")
     ws = Workspace(documents.sparkSession, "leakage")
-    held = ws.store(fingerprints(items, "eval_id", "passage").select("print", F.col("id").alias("eval_id"), F.col("at").alias("at_item")).distinct(), "items")
-    corpus = fingerprints(documents, "doc_id", "text").select("print", F.col("id").alias("doc_id"), F.col("at").alias("at_doc"))
-    hits = sized_join(corpus, held, "print", "inner", spread_by="doc_id")
-    # the hits of a pair are fewer than the words of its document times the repeats in the item
-    pairs = ws.store(hits.groupBy("doc_id", "eval_id").agg(F.collect_set(F.struct("at_doc", "at_item")).alias("hits")), "pairs")
-    with_text = sized_join(documents.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()), pairs, "doc_id", "inner")
+    held = ws.store(fingerprints(items, "eval_id", "passage").withColumnRenamed("id", "eval_id"), "items")
+    prints = held.select("print").distinct()
+    if within(prints, BROADCAST_ROWS):
+        sought = np.sort(prints.toArrow().column("print").to_numpy())
+        kept = fingerprints(documents, "doc_id", "text", documents.sparkSession.sparkContext.broadcast(sought))
+    else:
+        kept = skew_join(fingerprints(documents, "doc_id", "text"), prints, "print", "left_semi", spread_by="id")
+    corpus = ws.store(kept.select(F.col("id").alias("doc_id"), "at", "spans"), "corpus").select("doc_id", "at", F.explode("spans").alias("span"))
+    spans = held.select("eval_id", F.explode("spans").alias("span")).distinct()
+    pairs = sized_join(corpus, spans, "span", "inner", spread_by="doc_id").groupBy("doc_id", "eval_id").agg(F.min("at").alias("first_hit"), F.max("at").alias("last_hit"))
+    with_text = sized_join(documents.select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()), ws.store(pairs, "pairs"), "doc_id", "inner")
     full = sized_join(with_text, items.select("eval_id", "passage").where(F.col("passage").isNotNull()), "eval_id", "inner", spread_by="doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passages: dict[str, list[str]] = {}
+        passages: dict[str, tuple[int, Automaton]] = {}
         for batch in batches:
             rows = []
-            for doc, item, text, passage, hits in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "eval_id", "text", "passage", "hits")]):
+            for doc, item, text, passage, first_hit, last_hit in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "eval_id", "text", "passage", "first_hit", "last_hit")]):
                 if passage not in passages:
-                    if len(passages) > 10_000:
+                    if len(passages) > 2_000:
                         passages.clear()
-                    passages[passage] = words_of(passage)
-                first, n = longest_span(words_of(text), passages[passage], sorted((h["at_doc"], h["at_item"]) for h in hits))
+                    words = words_of(passage)
+                    passages[passage] = len(words), Automaton(words)
+                size, runs = passages[passage]
+                # a span that a hit lies in can't begin or end further off than the passage is long
+                lo = max(first_hit - size, 0)
+                first, n = runs.longest(words_of(text)[lo : last_hit + size])
                 if n >= least:
-                    rows.append((doc, item, first, n))
+                    rows.append((doc, item, lo + first, n))
             doc, item, first, n = zip(*rows) if rows else ([], [], [], [])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(doc, batch.schema.field("doc_id").type), pa.array(item, batch.schema.field("eval_id").type), pa.array(first, pa.int32()), pa.array(n, pa.int32())],
@@ -160,5 +224,5 @@ def leaked_spans(documents: DataFrame, items: DataFrame, least: int = LEAST_WORD
             )
 
     kinds = [full.schema[c].dataType.simpleString() for c in ("doc_id", "eval_id")]
-    spans = full.mapInArrow(run, f"doc_id {kinds[0]}, eval_id {kinds[1]}, first_word int, n_words int")
-    return spans.groupBy("doc_id", "eval_id").agg(F.max(F.struct("n_words", (-F.col("first_word")).alias("f"))).alias("s")).select("doc_id", "eval_id", (-F.col("s.f")).alias("first_word"), "s.n_words")
+    found = full.mapInArrow(run, f"doc_id {kinds[0]}, eval_id {kinds[1]}, first_word int, n_words int")
+    return found.groupBy("doc_id", "eval_id").agg(F.max(F.struct("n_words", (-F.col("first_word")).alias("f"))).alias("s")).select("doc_id", "eval_id", (-F.col("s.f")).alias("first_word"), "s.n_words")

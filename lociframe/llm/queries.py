@@ -75,10 +75,26 @@ keyed AS (
   FROM plain WINDOW w AS (PARTITION BY c, p, least(x, y), greatest(x, y)))
 """
 
+_SPANS = r"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+items AS (SELECT eval_id, regexp_extract_all(strip_accents(lower(passage)), '[\p{L}\p{N}]+') AS w FROM eval_items WHERE passage IS NOT NULL),
+doc_spans AS (SELECT doc_id, i, array_to_string(w[i:i+9], ' ') AS span FROM (SELECT doc_id, w, unnest(range(1, len(w) - 8)) AS i FROM docs)),
+item_spans AS (SELECT eval_id, j, array_to_string(w[j:j+9], ' ') AS span FROM (SELECT eval_id, w, unnest(range(1, len(w) - 8)) AS j FROM items)),
+hits AS (SELECT DISTINCT doc_id, eval_id, i, j FROM doc_spans JOIN item_spans USING (span)),
+runs AS (
+  SELECT doc_id, eval_id, min(i) - 1 AS first_word, count(*) + 9 AS n_words
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, eval_id, i - j ORDER BY i) AS island FROM hits)
+  GROUP BY doc_id, eval_id, i - j, island),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, eval_id ORDER BY n_words DESC, first_word) AS place FROM runs)
+"""
+
 SQL: dict[str, str] = {
     "p2_found": _KEYS + "SELECT keep_id, rec_id AS copy_id FROM keyed WHERE rec_id <> keep_id",
     "p2_records": _KEYS + "SELECT rec_id, chrom, pos, a0, a1, n_copies FROM keyed WHERE rec_id = keep_id",
     "p2_all_records": _KEYS
     + """SELECT rec_id, chrom, pos, a0, a1, n_copies FROM keyed WHERE rec_id = keep_id
        UNION ALL SELECT rec_id, chrom, pos, a0, a1, 1 FROM variant_feed WHERE chrom IS NULL OR pos IS NULL OR a0 IS NULL OR a1 IS NULL""",
+    "p7_found": _SPANS + "SELECT doc_id, eval_id FROM best WHERE place = 1",
+    "p7_spans": _SPANS + "SELECT doc_id, eval_id, first_word::INTEGER AS first_word, n_words::INTEGER AS n_words FROM best WHERE place = 1",
+    "p7_items": _SPANS + "SELECT eval_id, count(*)::BIGINT AS n_documents FROM best WHERE place = 1 GROUP BY eval_id",
 }

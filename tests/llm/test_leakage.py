@@ -95,3 +95,33 @@ def test_empty_sides_long_texts_and_repeats(spark):
 def test_shorter_spans_cannot_be_asked_for(spark):
     with pytest.raises(ValueError, match="guaranteed"):
         k.leaked_spans(spark.createDataFrame([], DOCS), spark.createDataFrame([], ITEMS), least=9)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("abc"), max_size=30), st.lists(st.sampled_from("abc"), max_size=30))
+def test_automaton_finds_the_longest_shared_run(passage, text):
+    first, n = k.Automaton(passage).longest(text)
+    assert n == shared(text, passage) and "".join(text[first : first + n]) in "".join(passage)
+
+
+def test_repeated_words_on_both_sides_take_time_in_proportion(spark):
+    import time
+
+    start = time.time()
+    got = run(spark, [(1, "ha " * 100_000), (2, "ha " * 9 + "x " + "ha " * 25_000)], [(1, "ha " * 25_000), (2, "ha he " * 20_000)])
+    assert got == {(1, 1): (0, 25_000), (2, 1): (10, 25_000)} and time.time() - start < 60
+
+
+def test_items_too_many_to_broadcast_give_the_same(spark, monkeypatch):
+    r = random.Random(9)
+    items = [(n, " ".join(f"w{r.randint(0, 30)}" for _ in range(30))) for n in range(20)]
+    docs = [(n, "so " * r.randint(0, 4) + " ".join(items[n % 20][1].split()[r.randint(0, 15) :])) for n in range(60)]
+    expected = run(spark, docs, items)
+    monkeypatch.setattr(k, "BROADCAST_ROWS", 0)
+    assert run(spark, docs, items) == expected and len(expected) >= 60
+
+
+def test_only_texts_that_share_a_whole_span_meet(spark):
+    at = np.array([0, 3, 7], dtype=np.int64)
+    which, first = k.spans_around(at, np.zeros(3, dtype=np.int64), np.full(3, 12))
+    assert sorted(zip(which.tolist(), first.tolist())) == [(0, 0), (1, 0), (1, 1), (1, 2), (2, 2)]
