@@ -41,21 +41,22 @@ def parent_links(samples: DataFrame) -> DataFrame:
     return skew_join(links, people, "parent", "left_semi", spread_by="node").select("node", "parent")
 
 
-def _best(df: DataFrame, paths: bool) -> DataFrame:
-    """The smallest number of links of each pair, with the first path in order among the shortest."""
-    if not paths:
+def _best(df: DataFrame, paths: bool, *counted: str) -> DataFrame:
+    """The smallest number of links of each pair, with the first path in order among the shortest, and the smallest of ``counted``."""
+    told = ["links", *(["path"] if paths else []), *counted]
+    if len(told) == 1:
         return df.groupBy("node", "ancestor").agg(F.min("links").alias("links"))
-    return df.groupBy("node", "ancestor").agg(F.min(F.struct("links", "path")).alias("b")).select("node", "ancestor", "b.*")
+    return df.groupBy("node", "ancestor").agg(F.min(F.struct(*told)).alias("b")).select("node", "ancestor", "b.*")
 
 
-def _chain(left: DataFrame, right: DataFrame, paths: bool) -> DataFrame:
-    """Pairs node -> mid of ``left`` continued by pairs mid -> ancestor of ``right``."""
-    cols = ["node", "links"] + (["path"] if paths else [])
+def _chain(left: DataFrame, right: DataFrame, paths: bool, *summed: str) -> DataFrame:
+    """Pairs node -> mid of ``left`` continued by pairs mid -> ancestor of ``right``; links and the columns ``summed`` are added."""
+    cols = ["node", "links", *(["path"] if paths else []), *summed]
     a = left.select(F.col("ancestor").alias("mid"), *[F.col(c).alias(f"l_{c}") for c in cols])
     b = right.select(F.col("node").alias("mid"), "ancestor", *[F.col(c).alias(f"r_{c}") for c in cols if c != "node"])
-    out = skew_join(a, b, "mid", spread_by="l_node")
-    joined = [F.col("l_node").alias("node"), "ancestor", (F.col("l_links") + F.col("r_links")).alias("links")]
-    return out.select(*joined, *([F.concat("l_path", "r_path").alias("path")] if paths else []))
+    out = skew_join(a, b, "mid", spread_by="l_node", both="ancestor")
+    added = [(F.col(f"l_{c}") + F.col(f"r_{c}")).alias(c) for c in ("links", *summed)]
+    return out.select(F.col("l_node").alias("node"), "ancestor", *added, *([F.concat("l_path", "r_path").alias("path")] if paths else []))
 
 
 def _union(*dfs: DataFrame) -> DataFrame:
@@ -84,20 +85,30 @@ def _walk(ws: Workspace, links: DataFrame, paths: bool, one_in: int) -> DataFram
 
 
 def _close(ws: Workspace, reduced: DataFrame, paths: bool) -> DataFrame:
-    """The closure of the reduced graph by repeated doubling."""
+    """The closure of the reduced graph by doubling its steps.
 
-    def state(df: DataFrame):
-        return df.agg(F.count("*"), F.sum("links")).first()
-
-    closed = ws.store(reduced, "reduced")
-    now = state(closed)
-    while now[0]:
-        further = ws.store(_best(_union(closed, _chain(closed, closed, paths)), paths), "reduced")
+    The best way of a pair (shortest, then of fewest steps, or with the first path) has the best ways of
+    its parts.  One of more than 2**r steps, and no more than twice as many, passes a splitter after
+    exactly 2**r, so only pairs of that many steps, all new in the last round, are continued.
+    """
+    closed = ws.store(reduced.withColumn("steps", F.lit(1)), "reduced")
+    step = 1
+    while True:
+        new = closed.where(F.col("steps") == step)
+        if new.isEmpty():
+            return closed.drop("steps")
+        further = ws.store(_best(_union(closed, _chain(new, closed, paths, "steps")), paths, "steps"), "reduced")
         ws.drop(closed)
-        before, now, closed = now, state(further), further
-        if tuple(before) == tuple(now):
-            break
-    return closed
+        closed, step = further, step * 2
+
+
+def _solved(ws: Workspace, links: DataFrame, paths: bool, one_in: int) -> tuple[DataFrame, DataFrame]:
+    """All ways without a splitter inside, and the best ways from every node to every splitter above it."""
+    usable = links.select("node", "parent").where(F.col("node").isNotNull() & F.col("parent").isNotNull()).distinct()
+    walks = _walk(ws, usable, paths, one_in)
+    upto = walks.where(is_splitter(F.col("ancestor"), one_in))
+    closed = _close(ws, upto.where(is_splitter(F.col("node"), one_in)), paths)
+    return walks, ws.store(_best(_union(upto, _chain(upto, closed, paths)), paths), "splitters")
 
 
 def ancestor_pairs(links: DataFrame, paths: bool = False, one_in: int = ONE_IN) -> DataFrame:
@@ -110,13 +121,7 @@ def ancestor_pairs(links: DataFrame, paths: bool = False, one_in: int = ONE_IN)
     links count once, no links give no pairs.
     """
     ws = Workspace(links.sparkSession, "hierarchy")
-    usable = links.select("node", "parent").where(F.col("node").isNotNull() & F.col("parent").isNotNull()).distinct()
-    stored = ws.store(usable, "links")
-    walks = _walk(ws, stored, paths, one_in)
-    ws.drop(stored)
-    upto = walks.where(is_splitter(F.col("ancestor"), one_in))
-    closed = _close(ws, upto.where(is_splitter(F.col("node"), one_in)), paths)
-    splitters = ws.store(_best(_union(upto, _chain(upto, closed, paths)), paths), "splitters")
+    walks, splitters = _solved(ws, links, paths, one_in)
     return _best(_union(walks, splitters, _chain(splitters, walks, paths)), paths)
 
 
@@ -179,8 +184,21 @@ def root_paths(pairs: DataFrame, links: DataFrame, people: DataFrame | None = No
     )
 
 
-def splitterless_cycles(links: DataFrame, one_in: int = ONE_IN) -> DataFrame:
-    """Nodes on a cycle that holds no splitter: ``(node, cycle_links)``."""
-    ws = Workspace(links.sparkSession, "cycles")
-    walks = _walk(ws, links.select("node", "parent").where("node is not null and parent is not null").distinct(), False, one_in)
+def splitterless_cycles(walks: DataFrame, one_in: int = ONE_IN) -> DataFrame:
+    """``(node, cycle_links)`` of nodes on a cycle that holds no splitter, which no step of the reduced graph sees."""
     return walks.where((F.col("node") == F.col("ancestor")) & ~is_splitter(F.col("node"), one_in)).select("node", F.col("links").alias("cycle_links"))
+
+
+def cycle_nodes(links: DataFrame, one_in: int = ONE_IN) -> DataFrame:
+    """``(node, cycle_links)``: every node that is its own ancestor, with the length of its shortest cycle.
+
+    A cycle through a splitter is a way from the node to the splitter and a walk back, which are joined
+    on both ends; cycles without splitters come from the walks alone.  Null ends and repeated links are
+    ignored; without links there are no cycles.
+    """
+    ws = Workspace(links.sparkSession, "cycles")
+    walks, splitters = _solved(ws, links, False, one_in)
+    at_once = splitters.where(F.col("node") == F.col("ancestor")).select("node", F.col("links").alias("cycle_links"))
+    back = walks.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("node"), F.col("links").alias("back"))
+    through = splitters.join(back, ["node", "ancestor"]).select("node", (F.col("links") + F.col("back")).alias("cycle_links"))
+    return _union(splitterless_cycles(walks, one_in), at_once, through).groupBy("node").agg(F.min("cycle_links").alias("cycle_links"))

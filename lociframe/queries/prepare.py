@@ -42,8 +42,8 @@ def p1_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples that are their own ancestors, with the length of the shortest cycle."""
-    pairs = hierarchy.ancestor_pairs(_links(spark, sf_dir))
-    return pairs.where(F.col("node") == F.col("ancestor")).select(F.col("node").alias("iid"), F.col("links").cast("int").alias("cycle_links"))
+    cycles = hierarchy.cycle_nodes(_links(spark, sf_dir))
+    return cycles.select(F.col("node").alias("iid"), F.col("cycle_links").cast("int").alias("cycle_links"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,6 +150,18 @@ judged AS (
 
 SQL: dict[str, str] = {
     "p1_found": _CLOSURE + "SELECT p AS ancestor_iid, c AS descendant_iid, n::INTEGER AS n_links FROM walk",
+    "p1_paths": _CLOSURE.split("walk(c")[0]
+    + """walk(c, p, n, path) USING KEY (c, p) AS (
+           SELECT c, p, 1, [p] FROM edges
+           UNION
+           SELECT w.c, e.p, w.n + 1, min(list_append(w.path, e.p)) FROM walk w JOIN edges e ON e.c = w.p
+           LEFT JOIN recurring.walk r ON r.c = w.c AND r.p = e.p WHERE r.c IS NULL GROUP BY w.c, e.p, w.n),
+         below AS (SELECT c AS node, p AS root, n::BIGINT AS links, array_to_string(list_reverse(list_prepend(c, path)), '/') AS path
+           FROM walk WHERE p NOT IN (SELECT c FROM edges))
+       SELECT * FROM below
+       UNION ALL
+       SELECT iid, CASE WHEN alone THEN iid END, CASE WHEN alone THEN 0 END, CASE WHEN alone THEN iid END
+       FROM (SELECT DISTINCT iid, iid NOT IN (SELECT c FROM edges) AS alone FROM samples WHERE iid NOT IN (SELECT node FROM below))""",
     "p1_cycles": _CLOSURE + "SELECT c AS iid, n::INTEGER AS cycle_links FROM walk WHERE c = p",
     "p1_nodes": _CLOSURE
     + """, up AS (SELECT c, count(*) AS na, count(*) FILTER (p NOT IN (SELECT c FROM edges)) AS nr,

@@ -4,6 +4,7 @@ from collections import deque
 import pytest
 
 from lociframe.operators import hierarchy as h
+from lociframe.plans import Workspace, skew_join
 
 SAMPLES = "iid string, father string, mother string, links int, `__salt` int, node string"
 
@@ -50,11 +51,27 @@ def test_a_long_chain_and_a_long_cycle(spark):
     assert got == brute(links) and got["c0", "c70"] == 70 and got["r3", "r3"] == 25
 
 
-def test_cycles_without_splitter_are_closed_and_named(spark):
+def test_cycles_without_splitter_come_from_the_walks(spark):
     links = [(f"r{k}", f"r{(k + 1) % 5}") for k in range(5)]
-    assert h.splitterless_cycles(frame(spark, links), one_in=1).count() == 0
-    none = h.splitterless_cycles(frame(spark, links), one_in=1 << 40).collect()
-    assert {(r.node, r.cycle_links) for r in none} == {(f"r{k}", 5) for k in range(5)}
+    for one_in, walked in ((1, 0), (1 << 40, 5)):
+        walks, _ = h._solved(Workspace(spark, "test"), frame(spark, links), False, one_in)
+        assert h.splitterless_cycles(walks, one_in).count() == walked
+        assert {(r.node, r.cycle_links) for r in h.cycle_nodes(frame(spark, links), one_in).collect()} == {(f"r{k}", 5) for k in range(5)}
+
+
+@pytest.mark.parametrize(("seed", "one_in"), [(5, 4), (6, 2), (7, 1), (8, 10_000)])
+def test_shortest_cycles(spark, seed, one_in):
+    links = random_pedigree(seed, 90, 9)
+    got = [(r.node, r.cycle_links) for r in h.cycle_nodes(frame(spark, links + [(None, "n1"), ("n1", None)]), one_in).collect()]
+    assert sorted(got) == sorted((n, d) for (n, a), d in brute(links).items() if n == a)
+    assert h.cycle_nodes(frame(spark, [])).count() == 0
+
+
+def test_keys_that_are_hot_on_both_sides(spark):
+    left = spark.createDataFrame([(k % 3, f"a{k}") for k in range(60)] + [(None, "n")], "key int, a string")
+    right = spark.createDataFrame([(k % 4, f"b{k}") for k in range(80)] + [(None, "n")], "key int, b string")
+    got = skew_join(left, right, "key", hot_rows=10, spread_by="a", both="b")
+    assert got.columns == ["key", "a", "b"] and sorted(map(tuple, got.collect())) == sorted((x % 3, f"a{x}", f"b{y}") for x in range(60) for y in range(80) if x % 3 == y % 4)
 
 
 def test_paths_are_shortest_and_exact(spark):
