@@ -301,6 +301,20 @@ class Record:
                 return value
             shift += 7
 
+    def varints(self, n: int) -> np.ndarray:
+        """The next ``n`` numbers at once; each has five bytes at most."""
+        window = np.frombuffer(self.data, dtype=np.uint8, offset=self.at)[: 5 * n]
+        last = np.flatnonzero(window < 128)[:n]
+        if len(last) < n:
+            raise InvalidSourceError("a PGEN record ends early")
+        if not n:
+            return np.zeros(0, dtype=np.int64)
+        first = np.append(0, last[:-1] + 1)
+        used = window[: last[-1] + 1].astype(np.int64)
+        shift = 7 * (np.arange(len(used)) - np.repeat(first, last - first + 1))
+        self.at += len(used)
+        return np.add.reduceat((used & 127) << shift, first)
+
     def bits(self, n: int) -> np.ndarray:
         return np.unpackbits(self.take(-(-n // 8)), bitorder="little")[:n].astype(bool)
 
@@ -320,12 +334,12 @@ def _sample_list(r: Record, n_samples: int, with_codes: bool) -> tuple[np.ndarra
     firsts = r.take(groups * width).reshape(groups, width).astype(np.int64) @ (1 << (8 * np.arange(width, dtype=np.int64)))
     r.take(groups - 1)
     codes = two_bit(r.take(-(-n // 4)), n) if with_codes else np.zeros(0, np.uint8)
-    ids = np.empty(n, dtype=np.int64)
-    for g in range(groups):
-        k = ids[g * 64] = firsts[g]
-        for i in range(g * 64 + 1, min(n, g * 64 + 64)):
-            k += r.varint()
-            ids[i] = k
+    # a group is its first number and the distances of those that follow
+    steps = np.zeros(n, dtype=np.int64)
+    follows = np.arange(n) % 64 > 0
+    steps[follows] = r.varints(n - groups)
+    so_far = np.cumsum(steps)
+    ids = so_far + np.repeat(firsts - so_far[::64], 64)[:n]
     if (np.diff(ids) <= 0).any() or ids[-1] >= n_samples:
         raise InvalidSourceError("sample numbers of a PGEN difference list aren't in order")
     return ids, codes

@@ -1,3 +1,4 @@
+import random
 import sqlite3
 
 import numpy as np
@@ -7,106 +8,138 @@ import lociframe as L
 from tests import files as w
 
 NAN = float("nan")
-DENSE = np.array([[NAN if c is None else c for c in row] for row in w.CALLS], dtype="float32").T
+DENSE, STATS = w.DENSE, w.numpy_stats(w.DENSE)
+NAMES = np.array([v[2] for v in w.VARIANTS])
+CHROM, POS = np.array([v[0] for v in w.VARIANTS]), np.array([v[1] for v in w.VARIANTS])
+SNP = np.array([len(v[3]) == len(v[4]) == 1 for v in w.VARIANTS])
 
 
-@pytest.fixture(scope="module", params=["vcf", "plink1", "plink2", "bcf"])
-def cohort(request, spark, tmp_path_factory):
-    d = tmp_path_factory.mktemp(request.param)
-    if request.param == "vcf":
-        return L.vcf(w.write_vcf(d / "c.vcf"), spark)
-    if request.param == "plink1":
-        return L.bfile(w.write_plink1(d / "c"), spark)
-    if request.param == "plink2":
-        return L.pfile(w.write_plink2(d / "c"), spark)
+def bcf_rows(variants, calls):
     gt = {0: (2, 2), 1: (2, 4), 2: (4, 4), None: (0, 0)}
-    return L.vcf(w.write_bcf(d / "c.bcf", [(v, None, [gt[c] for c in row], None) for v, row in zip(w.VARIANTS, w.CALLS)]), spark)
+    return [(v, None, [gt[c] for c in row], None) for v, row in zip(variants, calls)]
+
+
+def written(form, folder, spark, variants=w.VARIANTS, calls=w.CALLS, samples=w.SAMPLES):
+    """A cohort in a format."""
+    path = folder / "c"
+    if form == "vcf":
+        return L.vcf(w.write_vcf(folder / "c.vcf", w.vcf_rows(variants, calls), samples), spark)
+    if form == "bgzf":
+        return L.vcf(w.write_bgzf_vcf(folder / "c.vcf.gz", w.vcf_rows(variants, calls), samples, block=700), spark)
+    if form == "plink1":
+        return L.bfile(w.write_plink1(path, calls, variants, samples), spark)
+    if form == "pgen":
+        return L.pfile(w.write_plink2(path, calls, variants, samples), spark)
+    if form == "pgen-records":
+        return L.pfile(w.write_pgen_records(path, w.pgen_records(calls), variants, samples), spark)
+    return L.vcf(w.write_bcf(folder / "c.bcf", bcf_rows(variants, calls), samples), spark)
+
+
+@pytest.fixture(scope="module", params=["vcf", "bgzf", "plink1", "pgen", "pgen-records", "bcf"])
+def cohort(request, spark, tmp_path_factory):
+    return written(request.param, tmp_path_factory.mktemp(request.param), spark)
 
 
 def ids(result):
     return list(result[-1]["id"])
 
 
-def test_same_matrix_and_metadata_from_every_format(cohort):
+def test_every_format_gives_the_drawn_cohort(cohort):
     matrix, samples, variants = cohort.read(return_samples=True, return_variants=True)
     np.testing.assert_array_equal(matrix, DENSE)
     assert matrix.dtype == np.float32 and list(samples["iid"]) == w.SAMPLES
-    assert [tuple(r) for r in variants.itertuples(index=False)] == w.VARIANTS
-    assert [tuple(r) for r in cohort.variants().collect()] == w.VARIANTS
+    assert list(variants.itertuples(index=False, name=None)) == w.VARIANTS == [tuple(r) for r in cohort.variants().collect()]
     assert [r.iid for r in cohort.samples().collect()] == w.SAMPLES
     assert cohort.samples().columns == ["fid", "iid", "father", "mother", "sex", "phenotype"]
 
 
-def test_samples_keep_source_order(cohort):
-    matrix, samples = cohort.read(samples=["S3", "S1"], return_samples=True)
-    np.testing.assert_array_equal(matrix, DENSE[[0, 2]])
-    assert list(samples["iid"]) == ["S1", "S3"]
+def test_statistics_and_filters_are_of_the_asked_samples(cohort):
+    places = random.Random(3).sample(range(len(w.SAMPLES)), 9)
+    asked = [w.SAMPLES[k] for k in places]
+    part = w.numpy_stats(DENSE[sorted(places)])
+    matrix, samples, variants = cohort.read(samples=asked, variants=L.mac(min=3), return_samples=True, return_variants=True)
+    kept = part["mac"] >= 3
+    assert list(samples["iid"]) == [w.SAMPLES[k] for k in sorted(places)] and list(variants["id"]) == list(NAMES[kept]) and 0 < kept.sum() < len(kept)
+    np.testing.assert_array_equal(matrix, DENSE[sorted(places)][:, kept])
     with pytest.raises(L.SampleFilterError):
-        cohort.read(samples=["S1", "nobody"])
-
-
-@pytest.mark.parametrize(
-    ("expr", "expected"),
-    [
-        (L.chrom("1"), ["rs1", "rs2"]),
-        (L.chrom("2") | L.id_in(["rs1"]), ["rs1", "indel1", "rs4"]),
-        (L.chrom("1") & ~L.id_in(["rs2"]), ["rs1"]),
-        (L.maf(min=0.2) & L.missing_rate(0.25), ["rs1", "rs2", "indel1", "rs4"]),
-        (L.mac(min=3, max=3), ["rs1", "rs2", "indel1", "rs4"]),
-        (L.polymorphic() & L.missing_rate(0.0), ["rs4"]),
-        (L.region("2:30-39"), ["indel1"]),
-        (L.snp(), ["rs1", "rs2", "rs4"]),
-        (["rs4", "rs1"], ["rs1", "rs4"]),
-    ],
-)
-def test_filters(cohort, expr, expected):
-    assert ids(cohort.read(variants=expr, return_variants=True)) == expected
+        cohort.read(samples=[w.SAMPLES[0], "nobody"])
+
+
+FILTERS = {
+    "chromosome or name": (L.chrom("X") | L.id_in(list(NAMES[[0, 25]])), (CHROM == "X") | np.isin(NAMES, NAMES[[0, 25]])),
+    "all but names": (~L.id_in(list(NAMES[5:50])), ~np.isin(NAMES, NAMES[5:50])),
+    "region": (L.region("7:200000-700000"), (CHROM == "7") & (POS >= 200_000) & (POS <= 700_000)),
+    "single letters": (L.snp() & L.chrom("3"), SNP & (CHROM == "3")),
+    "rare": (L.maf(max=0.1) & L.polymorphic(), (STATS["maf"] <= np.float32(0.1)) & (STATS["mac"] > 0)),
+    "counts": (L.mac(min=4, max=9), (STATS["mac"] >= 4) & (STATS["mac"] <= 9)),
+    "mostly called": (L.missing_rate(0.15) & ~L.maf(min=0.25), (STATS["missing"] <= np.float32(0.15)) & ~(STATS["maf"] >= 0.25)),
+    "mixed": (L.chrom("7") & (L.maf(min=0.3) | ~L.snp()), (CHROM == "7") & ((STATS["maf"] >= np.float32(0.3)) | ~SNP)),
+    "list of names": (list(NAMES[[40, 3, 17]]), np.isin(NAMES, NAMES[[3, 17, 40]])),
+}
+
+
+@pytest.mark.parametrize("name", FILTERS)
+def test_filters_equal_numpy(cohort, name):
+    expr, mask = FILTERS[name]
+    matrix, variants = cohort.read(variants=expr, return_variants=True)
+    assert list(variants["id"]) == list(NAMES[mask]) and 0 < mask.sum() < len(mask)
+    np.testing.assert_array_equal(matrix, DENSE[:, mask])
 
 
 def test_empty_result_keeps_shape_and_has_no_blocks(cohort):
-    matrix, variants = cohort.read(variants=L.chrom("21"), return_variants=True)
-    assert matrix.shape == (4, 0) and list(variants.columns) == ["chrom", "pos", "id", "a0", "a1"]
-    assert list(cohort.iter_blocks(2, variants=L.chrom("21"))) == []
-    assert cohort.read(variants=L.chrom("1") & L.chrom("2")).shape == (4, 0)
+    matrix, variants = cohort.read(variants=L.chrom("22"), return_variants=True)
+    assert matrix.shape == (len(w.SAMPLES), 0) and list(variants.columns) == ["chrom", "pos", "id", "a0", "a1"]
+    assert list(cohort.iter_blocks(2, variants=L.chrom("22"))) == []
+    assert cohort.read(variants=L.chrom("3") & L.chrom("7")).shape == (len(w.SAMPLES), 0)
 
 
 def test_missing_policies(cohort):
-    np.testing.assert_array_equal(cohort.read(missing="impute"), np.where(np.isnan(DENSE), 1, DENSE))
+    some = STATS["n_called"] > 0
+    mean = np.array([np.float32(np.nansum(c)) / np.float32((~np.isnan(c)).sum()) for c in DENSE[:, some].T], dtype="float32")
+    np.testing.assert_array_equal(cohort.read(missing="impute", variants=list(NAMES[some])), np.where(np.isnan(DENSE[:, some]), mean, DENSE[:, some]))
     with pytest.raises(L.MissingDataError):
         cohort.read(missing="raise")
-    np.testing.assert_array_equal(cohort.read(missing="raise", variants=L.missing_rate(0.0), dtype="int8"), DENSE[:, 3:].astype("int8"))
+    whole = STATS["missing"] == 0
+    np.testing.assert_array_equal(cohort.read(missing="raise", variants=L.missing_rate(0.0), dtype="int8"), DENSE[:, whole].astype("int8"))
 
 
 def test_sparse_forms_count_the_minor_allele(cohort):
-    keep = {"variants": L.missing_rate(0.0), "samples": ["S2", "S3"]}  # calls 1, 2: the alternate is commoner
+    whole = STATS["missing"] == 0
+    turned = DENSE[:, whole].sum(axis=0) > len(w.SAMPLES)
+    expected = np.where(turned, 2 - DENSE[:, whole], DENSE[:, whole])
+    alleles = [(v[4], v[3]) if t else (v[3], v[4]) for v, t in zip([v for v, k in zip(w.VARIANTS, whole) if k], turned)]
+    assert 0 < turned.sum() < len(turned)
     for form in ("csc", "csr"):
-        matrix, variants = cohort.read(sparse=form, return_variants=True, **keep)
-        dense = cohort.read(missing="raise", **keep)
-        by_id = dict(zip(variants["id"], matrix.to_dense().T))
-        assert by_id["rs4"].tolist() == [1, 0]
-        assert variants.set_index("id").loc["rs4", ["a0", "a1"]].tolist() == ["T", "C"]
-        assert matrix.shape == dense.shape and matrix.form == form
+        matrix, variants = cohort.read(sparse=form, return_variants=True, variants=L.missing_rate(0.0))
+        np.testing.assert_array_equal(matrix.to_dense(), expected)
+        assert list(zip(variants["a0"], variants["a1"])) == alleles and matrix.form == form and matrix.shape == expected.shape
     with pytest.raises(L.MissingDataError):
         cohort.read(sparse=True)
 
 
-def test_blocks_join_to_the_whole(cohort):
-    blocks = list(cohort.iter_blocks(3, return_variants=True))
-    assert [b[0].shape[1] for b in blocks] == [3, 1]
+@pytest.mark.parametrize("size", [7, 60, 1000])
+def test_blocks_join_to_the_whole(cohort, size):
+    blocks = list(cohort.iter_blocks(size, return_variants=True))
+    assert [b[0].shape[1] for b in blocks] == [min(size, 60 - k) for k in range(0, 60, size)]
     np.testing.assert_array_equal(np.hstack([b[0] for b in blocks]), DENSE)
+    assert [i for b in blocks for i in b[1]["id"]] == list(NAMES)
+
+
+def test_blocks_can_be_left_early(cohort):
     with cohort.iter_blocks(1) as it:
-        next(it)
+        np.testing.assert_array_equal(next(it), DENSE[:, :1])
     assert it.closed and list(it) == []
     it.close()
-    with pytest.raises(L.InvalidOptionError):
-        cohort.iter_blocks(True)
+    for size in (True, 0, 1.5):
+        with pytest.raises(L.InvalidOptionError):
+            cohort.iter_blocks(size)
 
 
 def test_regions(cohort):
-    asked = [L.region("2:1-100"), L.region("1:15-25"), L.region("3:1-2")]
+    asked = [L.region("X:1-450000"), L.region("3:450000-900000"), L.region("9:1-2")]
     got = list(cohort.iter_regions(asked, return_variants=True))
-    assert [r for r, _ in got] == asked
-    assert [ids(x) for _, x in got] == [["indel1", "rs4"], ["rs2"], []]
+    masks = [(CHROM == "X") & (POS <= 450_000), (CHROM == "3") & (POS >= 450_000), np.zeros(60, dtype=bool)]
+    assert [r for r, _ in got] == asked and [ids(x) for _, x in got] == [list(NAMES[m]) for m in masks]
     with pytest.raises(L.InvalidOptionError):
         cohort.iter_regions(asked, variants=None)
 
@@ -120,7 +153,7 @@ def test_option_checks_come_in_order(cohort):
 
 
 def test_unsupported_values_are_named(spark, tmp_path):
-    d = L.bfile(w.write_plink1(tmp_path / "c"), spark)
+    d = L.bfile(w.write_plink1(tmp_path / "c", w.CALLS, w.VARIANTS, w.SAMPLES), spark)
     with pytest.raises(L.UnsupportedRepresentation):
         d.read(dosage="dosage")
     with pytest.raises(L.UnsupportedRepresentation):
@@ -128,7 +161,7 @@ def test_unsupported_values_are_named(spark, tmp_path):
 
 
 def test_resolution(tmp_path, spark):
-    w.write_plink1(tmp_path / "c")
+    w.write_plink1(tmp_path / "c", w.CALLS, w.VARIANTS, w.SAMPLES)
     assert L.bfile(tmp_path / "c.bim", spark).source.prefix == tmp_path / "c"
     (tmp_path / "c.fam").unlink()
     with pytest.raises(L.MissingCompanionFileError, match="c.fam"):
@@ -155,7 +188,7 @@ def test_vcf_dosages_quality_and_ids(spark, tmp_path):
 
 @pytest.mark.parametrize(("token", "kind"), [("./1", L.InvalidSourceError), ("0/2", L.InvalidSourceError), ("0", L.InvalidSourceError), (".", L.InvalidSourceError)])
 def test_vcf_bad_genotypes_fail_only_if_retained(spark, tmp_path, token, kind):
-    rows = [w.vcf_row(w.VARIANTS[0], ["0/0", "0/1"]), w.vcf_row(w.VARIANTS[3], ["0/0", token])]
+    rows = [w.vcf_row(w.SITES[0], ["0/0", "0/1"]), w.vcf_row(w.SITES[3], ["0/0", token])]
     d = L.vcf(w.write_vcf(tmp_path / "d.vcf", rows, ["A", "B"]), spark)
     with pytest.raises(kind):
         d.read()
@@ -169,7 +202,7 @@ def test_vcf_bad_genotypes_fail_only_if_retained(spark, tmp_path, token, kind):
 
 
 def test_vcf_several_alternates(spark, tmp_path):
-    rows = [w.vcf_row(("1", 10, "x", "A", "C,G"), ["0/0", "0/1"]), w.vcf_row(w.VARIANTS[3], ["0/0", "0/1"])]
+    rows = [w.vcf_row(("1", 10, "x", "A", "C,G"), ["0/0", "0/1"]), w.vcf_row(w.SITES[3], ["0/0", "0/1"])]
     d = L.vcf(w.write_vcf(tmp_path / "d.vcf", rows, ["A", "B"]), spark)
     assert d.variants().count() == 2
     with pytest.raises(L.InvalidSourceError, match="several alternate"):
@@ -178,7 +211,7 @@ def test_vcf_several_alternates(spark, tmp_path):
 
 
 def test_vcf_haplotypes(spark, tmp_path):
-    rows = [w.vcf_row(w.VARIANTS[0], ["0|1", "1|0"]), w.vcf_row(w.VARIANTS[1], ["1|1", ".|1"]), w.vcf_row(w.VARIANTS[2], ["0/0", "0/0"])]
+    rows = [w.vcf_row(w.SITES[0], ["0|1", "1|0"]), w.vcf_row(w.SITES[1], ["1|1", ".|1"]), w.vcf_row(w.SITES[2], ["0/0", "0/0"])]
     d = L.vcf(w.write_vcf(tmp_path / "h.vcf", rows, ["A", "B"]), spark)
     matrix, samples = d.read(kind="haplo", variants=L.chrom("1"), return_samples=True)
     np.testing.assert_array_equal(matrix, np.array([[0, 1], [1, 1], [1, NAN], [0, 1]], dtype="float32"))
@@ -186,7 +219,7 @@ def test_vcf_haplotypes(spark, tmp_path):
     with pytest.raises(L.UnsupportedRepresentation):
         d.read(kind="haplo")
     assert d.phased()
-    flipped = d.read(kind="haplo", sparse=True, samples=["A"], variants=L.id_in(["rs2"]))
+    flipped = d.read(kind="haplo", sparse=True, samples=["A"], variants=L.id_in(["m2"]))
     assert flipped.to_dense().tolist() == [[0], [0]]
 
 
@@ -205,11 +238,11 @@ def test_blocked_vcf_with_index(spark, tmp_path, index, suffix):
 
 
 def test_blocked_vcf_without_index_reads_all_but_no_region(spark, tmp_path):
-    d = L.vcf(w.write_bgzf_vcf(tmp_path / "d.vcf.gz", w.cohort_rows(), block=37, index=None), spark)
+    d = L.vcf(w.write_bgzf_vcf(tmp_path / "d.vcf.gz", w.vcf_rows(w.VARIANTS, w.CALLS), w.SAMPLES, block=37, index=None), spark)
     np.testing.assert_array_equal(d.read(), DENSE)
     with pytest.raises(L.InvalidSourceError, match="no index"):
-        d.read(variants=L.region("1:1-15"))
-    assert d.read(variants=L.region("1:1-15") | L.id_in(["rs4"])).shape == (4, 2)
+        d.read(variants=L.region("3:1-900000"))
+    assert d.read(variants=L.region("3:1-900000") | L.id_in([NAMES[-1]])).shape == (len(w.SAMPLES), 21)
 
 
 def test_every_way_to_part_a_blocked_file_gives_all_lines(tmp_path):
@@ -230,11 +263,11 @@ def test_every_way_to_part_a_blocked_file_gives_all_lines(tmp_path):
 
 
 def test_bcf_half_calls_haplotypes_and_dosages(spark, tmp_path):
-    rows = [(w.VARIANTS[0], 12.5, [(2, 5), (4, 3)], [0.5, None]), (w.VARIANTS[1], None, [(0, 4), (4, 4)], [2.0, 0.0])]
+    rows = [(w.SITES[0], 12.5, [(2, 5), (4, 3)], [0.5, None]), (w.SITES[1], None, [(0, 4), (4, 4)], [2.0, 0.0])]
     d = L.vcf(w.write_bcf(tmp_path / "c.bcf", rows, ["A", "B"]), spark)
     np.testing.assert_array_equal(d.read(), np.array([[1, NAN], [1, 2]], dtype="float32"))
     np.testing.assert_array_equal(d.read(dosage="dosage"), np.array([[0.5, 2], [NAN, 0]], dtype="float32"))
-    assert d.phased() and not L.vcf(w.write_bcf(tmp_path / "u.bcf", [(w.VARIANTS[0], None, [(2, 4)], None)], ["A"]), spark).phased()
+    assert d.phased() and not L.vcf(w.write_bcf(tmp_path / "u.bcf", [(w.SITES[0], None, [(2, 4)], None)], ["A"]), spark).phased()
     np.testing.assert_array_equal(d.read(kind="haplo", variants=L.qual(min=10)), np.array([[0], [1], [1], [0]], dtype="float32"))
     with pytest.raises(L.UnsupportedRepresentation):
         d.read(kind="haplo")
@@ -244,7 +277,7 @@ def test_bcf_half_calls_haplotypes_and_dosages(spark, tmp_path):
 
 
 def test_pgen_fixed_dosages_and_differences(spark, tmp_path):
-    v, s = w.VARIANTS[:2], ["A", "B", "C"]
+    v, s = w.SITES[:2], ["A", "B", "C"]
     d = L.pfile(w.write_plink2(tmp_path / "d", [[0, 1, 2], [1, None, 0]], v, s, [30, 40], [[0.25, 1, 1.75], [1, None, 0.5]]), spark)
     np.testing.assert_array_equal(d.read(dosage="dosage"), np.array([[0.25, 1], [1, NAN], [1.75, 0.5]], dtype="float32"))
     np.testing.assert_array_equal(d.read(), np.array([[0, 1], [1, NAN], [2, 0]], dtype="float32"))
@@ -275,18 +308,18 @@ def test_pgen_variable_records(spark, tmp_path):
 
 
 def test_pgen_phases(spark, tmp_path):
-    s, v = ["A", "B", "C"], w.VARIANTS[:3]
+    s, v = ["A", "B", "C"], w.SITES[:3]
     records = [
         (0x10, w.pack([1, 1, 2]) + w.bits([0, 1, 0])),  # all phased
         (0x10, w.pack([1, 1, 0]) + w.bits([1, 1, 0]) + w.bits([1])),  # only the first of two
         (0xD0, w.pack([1, 1, 2]) + w.bits([0, 0, 1]) + (16384 * 5 // 4).to_bytes(2, "little") * 2 + (16384).to_bytes(2, "little") + (-4096 & 0xFFFF).to_bytes(2, "little") * 0 + (8192).to_bytes(2, "little") * 3),
     ]
     d = L.pfile(w.write_pgen_records(tmp_path / "x", records[:2], v[:2], s), spark)
-    np.testing.assert_array_equal(d.read(kind="haplo", variants=["rs1"])[:, 0], [1, 0, 0, 1, 1, 1])
+    np.testing.assert_array_equal(d.read(kind="haplo", variants=["m1"])[:, 0], [1, 0, 0, 1, 1, 1])
     with pytest.raises(L.UnsupportedRepresentation):
         d.read(kind="haplo")
     np.testing.assert_array_equal(d.read(kind="haplo", samples=["A", "C"]), np.array([[1, 1], [0, 0], [1, 0], [1, 0]], dtype="float32"))
-    sparse = d.read(kind="haplo", sparse=True, samples=["C"], variants=["rs1"])
+    sparse = d.read(kind="haplo", sparse=True, samples=["C"], variants=["m1"])
     assert sparse.to_dense().tolist() == [[1], [1]]  # not turned to the minor allele
     full = (0xD0, w.pack([1, 1, 2]) + w.bits([0, 0, 1]) + b"".join(int(16384 * x).to_bytes(2, "little") for x in (1.25, 1.0, 2.0)) + b"".join(int(16384 * x).to_bytes(2, "little", signed=True) for x in (0.75, -0.5, 0)))
     e = L.pfile(w.write_pgen_records(tmp_path / "e", [full], v[:1], s), spark)
@@ -301,7 +334,7 @@ def test_pgen_phases(spark, tmp_path):
 def test_compressed_pvar_and_counts(spark, tmp_path):
     import zstandard
 
-    w.write_plink2(tmp_path / "c")
+    w.write_plink2(tmp_path / "c", w.CALLS, w.VARIANTS, w.SAMPLES)
     plain = (tmp_path / "c.pvar").read_bytes()
     (tmp_path / "c.pvar").unlink()
     (tmp_path / "c.pvar.zst").write_bytes(zstandard.ZstdCompressor().compress(plain))
@@ -338,7 +371,7 @@ def test_bgen_phased_probabilities(spark, tmp_path, n_bits, pack_missing):
     most = (1 << n_bits) - 1
     block = w.bgen_block([(0, most), None, (most // 4, most // 2)], True, n_bits, pack_missing)
     (tmp_path / "d.sample").write_text("ID_1 ID_2\n0 0\nA A\nB B\nC C\n")
-    d = L.bgen(w.write_bgen(tmp_path / "d.bgen", [block], w.VARIANTS[:1], ["A", "B", "C"], with_samples=False), spark)
+    d = L.bgen(w.write_bgen(tmp_path / "d.bgen", [block], w.SITES[:1], ["A", "B", "C"], with_samples=False), spark)
     a, b = most // 4 / most, most // 2 / most
     np.testing.assert_allclose(d.read(kind="haplo", dosage="dosage")[:, 0], [1, 0, NAN, NAN, 1 - a, 1 - b], rtol=1e-6)
     np.testing.assert_allclose(d.read(dosage="dosage")[:, 0], [1, NAN, 2 - a - b], rtol=1e-6)
@@ -346,21 +379,22 @@ def test_bgen_phased_probabilities(spark, tmp_path, n_bits, pack_missing):
 
 
 def test_statistics_diagnostics_and_views(cohort, spark):
-    got = {r.id: (r.n_called, r.mac) for r in cohort.stats(variants=L.chrom("1")).collect()}
-    assert got == {"rs1": (3, 3.0), "rs2": (3, 3.0)}
-    row = cohort.diagnostics(variants=L.chrom("1"), samples=["S1"]).first()
-    assert tuple(row) == (4, 1, 4, 2, 2)
+    got = {r.id: (r.n_called, r.mac) for r in cohort.stats(variants=L.chrom("7") & L.maf(min=0)).collect()}
+    at = (CHROM == "7") & (STATS["n_called"] > 0)
+    assert got == {i: (n, m) for i, n, m in zip(NAMES[at], STATS["n_called"][at], STATS["mac"][at])}
+    row = cohort.diagnostics(variants=L.chrom("7"), samples=w.SAMPLES[:2]).first()
+    assert tuple(row) == (23, 2, 60, 20, 40)
     cohort.create_views("c")
-    assert spark.sql("SELECT count(*) FROM c_calls JOIN c_variants USING (variant_idx), c_samples").first()[0] == 16
+    assert spark.sql("SELECT count(*) FROM c_calls JOIN c_variants USING (variant_idx), c_samples").first()[0] == 60 * 23
 
 
 def test_cohorts_are_written_for_skipping(cohort, spark, tmp_path):
     from lociframe.operators.cohort import write_cohort
 
     write_cohort(cohort.frame(), f"{tmp_path}/cohort")
-    back = spark.read.parquet(f"{tmp_path}/cohort").where("chrom = '2' and pos >= 35")
-    assert [r.id for r in back.collect()] == ["rs4"]
-    assert "PushedFilters: [IsNotNull(chrom), IsNotNull(pos), EqualTo(chrom,2), GreaterThanOrEqual(pos,35)" in back._jdf.queryExecution().executedPlan().toString()
+    back = spark.read.parquet(f"{tmp_path}/cohort").where("chrom = '7' and pos >= 450000")
+    assert sorted(r.id for r in back.collect()) == sorted(NAMES[(CHROM == "7") & (POS >= 450_000)])
+    assert "PushedFilters: [IsNotNull(chrom), IsNotNull(pos), EqualTo(chrom,7), GreaterThanOrEqual(pos,450000)" in back._jdf.queryExecution().executedPlan().toString()
 
 
 def test_positions_are_pushed_into_the_source(spark, tmp_path):
@@ -378,39 +412,39 @@ def test_entry_names_every_query_once():
 
 
 def test_uncountable_genotypes_fail_once_statistics_are_asked_for(spark, tmp_path):
-    rows = [w.vcf_row(w.VARIANTS[0], ["0|0", "0|1"]), w.vcf_row(w.VARIANTS[3], ["0|0", "0|3"])]
+    rows = [w.vcf_row(w.SITES[0], ["0|0", "0|1"]), w.vcf_row(w.SITES[3], ["0|0", "0|3"])]
     d = L.vcf(w.write_vcf(tmp_path / "d.vcf", rows, ["A", "B"]), spark)
     assert d.read(variants=L.chrom("1") & L.polymorphic()).shape == (2, 1)
     with pytest.raises(L.InvalidSourceError):
         d.read(variants=L.chrom("2") & L.maf(min=0.4))  # dropped if the bad call were missing
-    half = L.vcf(w.write_vcf(tmp_path / "h.vcf", [w.vcf_row(w.VARIANTS[0], ["0|1", ".|1"])], ["A", "B"]), spark)
+    half = L.vcf(w.write_vcf(tmp_path / "h.vcf", [w.vcf_row(w.SITES[0], ["0|1", ".|1"])], ["A", "B"]), spark)
     np.testing.assert_array_equal(half.read(kind="haplo")[:, 0], [0, 1, NAN, 1])
     with pytest.raises(L.InvalidSourceError, match="half"):
         half.read(kind="haplo", variants=L.polymorphic())
 
 
 def test_statistics_drop_variants_before_phases_are_needed(spark, tmp_path):
-    rows = [w.vcf_row(w.VARIANTS[0], ["0/0", "0/0"]), w.vcf_row(w.VARIANTS[1], ["0|1", "1|1"])]
+    rows = [w.vcf_row(w.SITES[0], ["0/0", "0/0"]), w.vcf_row(w.SITES[1], ["0|1", "1|1"])]
     d = L.vcf(w.write_vcf(tmp_path / "d.vcf", rows, ["A", "B"]), spark)
     assert d.read(kind="haplo", variants=L.polymorphic()).tolist() == [[0], [1], [1], [1]]
     records = [(0x00, w.pack([0, 0])), (0x10, w.pack([1, 2]) + w.bits([0, 1]))]
-    p = L.pfile(w.write_pgen_records(tmp_path / "p", records, w.VARIANTS[:2], ["A", "B"]), spark)
+    p = L.pfile(w.write_pgen_records(tmp_path / "p", records, w.SITES[:2], ["A", "B"]), spark)
     assert p.read(kind="haplo", variants=L.polymorphic()).tolist() == [[1], [0], [1], [1]]
     with pytest.raises(L.UnsupportedRepresentation):
         p.read(kind="haplo")
-    b = L.bgen(w.write_bgen(tmp_path / "d.bgen", [w.bgen_block([(255, 0)]), w.bgen_block([(0, 255)], True)], w.VARIANTS[:2], ["A"]), spark)
+    b = L.bgen(w.write_bgen(tmp_path / "d.bgen", [w.bgen_block([(255, 0)]), w.bgen_block([(0, 255)], True)], w.SITES[:2], ["A"]), spark)
     assert b.read(kind="haplo", dosage="dosage", variants=L.polymorphic()).tolist() == [[1], [0]]
 
 
 def test_broken_files_raise_their_own_errors(spark, tmp_path):
-    prefix = w.write_plink1(tmp_path / "c")
+    prefix = w.write_plink1(tmp_path / "c", w.CALLS, w.VARIANTS, w.SAMPLES)
     (tmp_path / "c.bed").write_bytes((tmp_path / "c.bed").read_bytes() + b"\0")
     with pytest.raises(L.InvalidSourceError, match="records"):
         L.bfile(prefix, spark).read()
     (tmp_path / "c.bed").write_bytes(b"\x6c\x1b\x00" + bytes(4))
     with pytest.raises(L.InvalidSourceError, match="variant-major"):
         L.bfile(prefix, spark).read()
-    path = w.write_bgen(tmp_path / "d.bgen", [w.bgen_block([(200, 100)])], w.VARIANTS[:1], ["A"])
+    path = w.write_bgen(tmp_path / "d.bgen", [w.bgen_block([(200, 100)])], w.SITES[:1], ["A"])
     with pytest.raises(L.InvalidSourceError, match="more than one"):
         L.bgen(path, spark).read(dosage="dosage")
 
@@ -444,12 +478,12 @@ def test_a_bcf_position_below_0_is_no_position(spark, tmp_path):
         L.vcf(w.write_bcf(tmp_path / "c.bcf", rows, ["A"]), spark).read()
 
 
-@pytest.mark.parametrize("change", ["DELETE FROM Variant WHERE rsid = 'rs2'", "INSERT INTO Variant SELECT * FROM Variant WHERE rsid = 'rs2'"])
+@pytest.mark.parametrize("change", ["DELETE FROM Variant WHERE rsid = 'm2'", "INSERT INTO Variant SELECT * FROM Variant WHERE rsid = 'm2'"])
 def test_a_bgen_index_of_other_variants_loses_none(spark, tmp_path, change):
-    path = w.write_bgen(tmp_path / "d.bgen", [w.bgen_block([(204, 26)])] * 4, w.VARIANTS, ["A"], index=True)
+    path = w.write_bgen(tmp_path / "d.bgen", [w.bgen_block([(204, 26)])] * 4, w.SITES, ["A"], index=True)
     with sqlite3.connect(f"{path}.bgi") as db:
         db.execute(change)
     d = L.bgen(path, spark)
-    assert ids(d.read(dosage="dosage", return_variants=True)) == [v[2] for v in w.VARIANTS]
+    assert ids(d.read(dosage="dosage", return_variants=True)) == [v[2] for v in w.SITES]
     assert d.variants().count() == 4 and d.frame(dosage="dosage").count() == 4
-    assert ids(d.read(dosage="dosage", variants=L.region("1:15-25"), return_variants=True)) == ["rs2"]
+    assert ids(d.read(dosage="dosage", variants=L.region("1:1500-2500"), return_variants=True)) == ["m2"]
