@@ -157,7 +157,7 @@ class Dataset:
         """Variants with their ordinal and the columns that filters use."""
         if self._variants is None:
             if self.source.format == "vcf":
-                self._variants = vcf.variants(vcf.lines(self.spark, self.source.path), str(self.source.path)).drop("f")
+                self._variants = vcf.variants(vcf.lines(self.spark, self.source.path), str(self.source.path)).drop("f", "is_record")
             else:
                 self._variants = self._load({"content": "variants"}).drop("calls", "counted", "error")
         return self._variants

@@ -59,7 +59,7 @@ def _at(k: int) -> Column:
 
 
 def variants(rows: DataFrame, path: str) -> DataFrame:
-    """Typed variants of lines, with their split fields ``f`` and ``error`` for lines without alleles."""
+    """Typed variants of lines, with their split fields ``f`` and whether they are records, which only those may fail."""
     # filters may be planned in any order, so what raises looks itself at whether the line is a record
     cut = rows.select("variant_idx", F.split("line", "\t", -1).alias("f"), is_record().alias("is_record"))
     alt = _at(4)
@@ -73,7 +73,7 @@ def variants(rows: DataFrame, path: str) -> DataFrame:
     name = F.split_part(_at(2), F.lit(";"), F.lit(1))
     return cut.select(
         "variant_idx", good.alias("chrom"), position.alias("pos"), F.when(F.coalesce(name, F.lit("")) == "", ".").otherwise(name).alias("id"),
-        _at(3).alias("a0"), first.alias("a1"), _at(3).alias("ref_allele"), alt.alias("alt_allele"), optional_float(_at(5)).alias("qual"), "f",
+        _at(3).alias("a0"), first.alias("a1"), _at(3).alias("ref_allele"), alt.alias("alt_allele"), optional_float(_at(5)).alias("qual"), "f", "is_record",
     )
 
 
@@ -100,4 +100,4 @@ def with_calls(rows: DataFrame, places: list[int], kind: str, dosage: str, to_co
         counted = F.transform("read", lambda r: r["first"] + r["second"])
     else:
         calls = counted = F.transform("read", lambda r: r["value"])
-    return read.withColumns({"calls": calls.cast("array<float>"), "counted": counted.cast("array<float>"), "error": error}).drop("f", "key_at", "tokens", "read")
+    return read.withColumns({"calls": calls.cast("array<float>"), "counted": counted.cast("array<float>"), "error": F.when(F.col("is_record"), error)}).drop("f", "is_record", "key_at", "tokens", "read")
