@@ -1,10 +1,11 @@
 """References to records that don't exist.
 
 Referable keys are range-partitioned and stored as sorted arrays of bounded
-size, each with the moments that decide about its keys.  References find their
-range by binary search over the ranges' lowest keys, are divided into blocks of
-bounded size, so that a key that is referred to by a third of all rows fills many
-blocks, and each block is probed against its range by one vectorised binary search.
+size, each with the moments that decide about its keys.  The different values that
+references have find their range by binary search over the ranges' lowest keys, and
+each block of them is probed against its range by one vectorised binary search.  What
+is found for a value then goes to its references; a value that a third of all rows
+refers to is probed once, and only its one finding is repeated.
 """
 
 from __future__ import annotations
@@ -17,11 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociframe.plans import Workspace, sized_join
+from lociframe.plans import Workspace, sized_join, skew_join
 
-#: Keys in one sorted array, and references in one block.
-RANGE_KEYS, BLOCK_ROWS = 20_000, 50_000
+#: Keys in one sorted array, unless that gave more than MOST_RANGES of them, and values in one block.
+RANGE_KEYS, MOST_RANGES, BLOCK_ROWS = 20_000, 100_000, 50_000
 NOBODY = ("0", ".", "NA")
+MOMENTS = ("first", "last", "removed")
 
 
 def key_table(samples: DataFrame, removals: DataFrame) -> DataFrame:
@@ -67,24 +69,40 @@ def sorted_ranges(ws: Workspace, keys: DataFrame, range_keys: int = RANGE_KEYS)
     return ws.store(ordered.mapInArrow(pack, schema), "ranges")
 
 
-def _probe(refs: pa.Table, ranges: pa.Table) -> pa.Table:
-    """Kinds of the orphan references of one block against one sorted array."""
-    value = refs.column("ref").to_numpy(zero_copy_only=False)
-    loaded = refs.column("loaded").to_numpy(zero_copy_only=False).astype("float64")
-    if ranges.num_rows:
-        row = ranges.slice(0, 1)
-        keys = row.column("key")[0].values.to_numpy(zero_copy_only=False)
-        first, last, removed = (row.column(c)[0].values.to_numpy(zero_copy_only=False).astype("float64") for c in ("first", "last", "removed"))
-        at = np.searchsorted(keys, value)
-        at[at == len(keys)] = 0
-        known = keys[at] == value
-        deleted = known & (removed[at] > last[at])
-        late = known & ~deleted & (first[at] > loaded)
-    else:
-        known = deleted = late = np.zeros(len(value), dtype=bool)
-    kind = np.where(~known, "missing", np.where(deleted, "deleted", np.where(late, "late", "")))
-    out = refs.select(["table_name", "row_id", "ref_field", "load_month"]).append_column("orphan_kind", pa.array(kind.astype(object), pa.string()))
-    return out.filter(pa.array(kind != ""))
+def _probe(values: pa.Table, ranges: pa.Table) -> pa.Table:
+    """The moments of those values of one block that one sorted array holds."""
+    value = values.column("ref").to_numpy(zero_copy_only=False)
+    if not ranges.num_rows or not len(value):
+        return pa.table({"ref": pa.array([], pa.string()), **{c: pa.array([], pa.int64()) for c in MOMENTS}})
+    row = ranges.slice(0, 1)
+    held = row.column("key")[0].values.to_numpy(zero_copy_only=False)
+    at = np.searchsorted(held, value)
+    at[at == len(held)] = 0
+    known = np.flatnonzero(held[at] == value)
+    place = pa.array(at[known])
+    return pa.table({"ref": values.column("ref").take(pa.array(known)), **{c: row.column(c)[0].values.take(place) for c in MOMENTS}})
+
+
+def found_values(ws: Workspace, values: DataFrame, keys: DataFrame, range_keys: int = RANGE_KEYS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``ref`` and the moments of those different ``ref`` values that are keys."""
+    spark = values.sparkSession
+    keys = ws.store(keys, "keys")
+    ranges = sorted_ranges(ws, keys, max(range_keys, -(-keys.count() // MOST_RANGES)))
+    # one short string a range, and a partition's last range: MOST_RANGES and the partitions at most
+    lows = spark.sparkContext.broadcast(np.array(sorted(r[0] for r in ranges.select("lowest").collect()), dtype=object))
+
+    def range_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for ref in batches:
+            yield pd.Series(np.maximum(np.searchsorted(lows.value, ref.to_numpy(), side="right") - 1, 0), dtype="int64")
+
+    find = F.pandas_udf(range_of, "bigint")
+    placed = ws.store(values.select("ref", find("ref").alias("range_id")), "values")
+    n_blocks = ws.store(placed.groupBy("range_id").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("n_blocks")), "blocks")
+    placed = sized_join(placed, n_blocks, "range_id", "inner", spread_by="ref").withColumn("block", F.pmod(F.xxhash64("ref"), F.col("n_blocks")).cast("int")).drop("n_blocks")
+    numbered = ranges.withColumn("range_id", find("lowest"))
+    repeated = sized_join(numbered, n_blocks.toDF("range_id", "parts"), "range_id", "inner").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    schema = "ref string, " + ", ".join(f"{c} bigint" for c in MOMENTS)
+    return placed.groupBy("range_id", "block").cogroup(repeated.groupBy("range_id", "block")).applyInArrow(_probe, schema)
 
 
 def orphan_references(refs: DataFrame, keys: DataFrame, range_keys: int = RANGE_KEYS, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -98,36 +116,16 @@ def orphan_references(refs: DataFrame, keys: DataFrame, range_keys: int = RANGE_
     without load time has a null month and is never ``late``.  Repeated references
     come out each; without keys all references are missing.
     """
-    spark = refs.sparkSession
-    ws = Workspace(spark, "orphans")
-    ranges = sorted_ranges(ws, keys, range_keys)
-    # one short string for each range_keys keys
-    lows = np.array(sorted(r[0] for r in ranges.select("lowest").collect()), dtype=object)
-
-    def range_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for ref in batches:
-            if len(lows):
-                yield pd.Series(np.maximum(np.searchsorted(lows, ref.to_numpy(), side="right") - 1, 0), dtype="int64")
-            else:
-                yield pd.Series(np.zeros(len(ref)), dtype="int64")
-
-    find = F.pandas_udf(range_of, "bigint")
+    ws = Workspace(refs.sparkSession, "orphans")
     some = refs.where(F.col("ref").isNotNull() & ~F.col("ref").isin(*NOBODY))
+    told = found_values(ws, some.select("ref").distinct(), keys, range_keys, block_rows).withColumn("known", F.lit(True))
     placed = some.select(
         "table_name", F.col("row_id").cast("long").alias("row_id"), "ref_field", "ref", F.date_format("loaded_at", "yyyy-MM").alias("load_month"),
-        F.unix_micros(F.col("loaded_at").cast("timestamp")).alias("loaded"), find("ref").alias("range_id"),
+        F.unix_micros(F.col("loaded_at").cast("timestamp")).alias("loaded"),
     )
-    placed = ws.store(placed, "references")
-    n_blocks = placed.groupBy("range_id").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("n_blocks"))
-    named = {low: i for i, low in enumerate(lows)}
-    place = F.pandas_udf(lambda low: low.map(named).astype("int64"), "bigint")
-    number = F.xxhash64("table_name", "row_id", "ref_field")
-    placed = sized_join(placed, n_blocks, "range_id", "inner", spread_by="row_id").withColumn("block", F.pmod(number, F.col("n_blocks")).cast("int"))
-    parts = ws.store(n_blocks, "blocks").toDF("range_id", "parts")
-    repeated = sized_join(ranges.withColumn("range_id", place("lowest")), parts, "range_id", "inner").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    schema = "table_name string, row_id bigint, ref_field string, load_month string, orphan_kind string"
-    probed = placed.groupBy("range_id", "block").cogroup(repeated.groupBy("range_id", "block")).applyInArrow(_probe, schema)
-    return probed.select("table_name", "row_id", "ref_field", "orphan_kind", "load_month")
+    judged = skew_join(placed, ws.store(told, "found"), "ref", "left", spread_by="row_id")
+    kind = F.when(F.col("known").isNull(), "missing").when(F.col("removed") > F.col("last"), "deleted").when(F.col("first") > F.col("loaded"), "late")
+    return judged.select("table_name", "row_id", "ref_field", kind.alias("orphan_kind"), "load_month").where(F.col("orphan_kind").isNotNull())
 
 
 def sample_references(samples: DataFrame, phenotypes: DataFrame) -> DataFrame:

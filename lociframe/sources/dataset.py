@@ -7,7 +7,6 @@ import sys
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field
-from itertools import islice
 from pathlib import Path
 from typing import Any
 
@@ -202,7 +201,7 @@ class Dataset:
         resolve.check_support(self.source.format, o.kind, o.dosage, bool(o.sparse))
         return self._frame(o, self._places(o.samples))
 
-    def _frame(self, o: ReadOptions, places: list[int] | None) -> DataFrame:
+    def _frame(self, o: ReadOptions, places: list[int] | None, named: bool = True) -> DataFrame:
         node = simplify(o.variants)
         region = None if node is NO else concrete_region(node)
         if self.source.format == "vcf":
@@ -210,10 +209,10 @@ class Dataset:
             typed = vcf.variants(vcf.lines(self.spark, self.source.path, indexed), str(self.source.path))
             wide = vcf.with_calls(typed, list(range(len(self.sample_rows()))) if places is None else places, o.kind, o.dosage, uses_stats(node))
         else:
-            wide = self._load({"kind": o.kind, "dosage": o.dosage, "keep": places})
+            wide = self._load({"kind": o.kind, "dosage": o.dosage, "keep": places, "named": named or node.kind != "yes"})
             if region:
                 wide = wide.where((F.col("chrom") == region[0]) & (F.col("pos") >= region[1]) & (F.col("pos") <= region[2]))
-        wide = ops.read_variants(wide, o.variants, o.missing, failed="error", counted="counted")
+        wide = ops.read_variants(wide, o.variants, o.missing, failed="error", counted="counted" if o.kind == "haplo" else None)
         if o.sparse and (o.kind == "geno" or self.source.format in resolve.TURNED_HAPLOTYPES):
             wide = ops.orient_minor(wide, most=1 if o.kind == "haplo" else 2)
         return wide.select("variant_idx", *ops.VARIANT_COLUMNS, "calls")
@@ -246,11 +245,16 @@ class Dataset:
         return frame
 
     def assemble(self, rows: list, o: ReadOptions, places: list[int] | None):
-        """The result of a read from its rows in source order: the matrix, or a tuple with metadata."""
-        n = (len(self.sample_rows()) if places is None else len(places)) * (2 if o.kind == "haplo" else 1)
-        dense = np.full((len(rows), n), np.nan, dtype=np.float32)
-        for k, r in enumerate(rows):
-            dense[k] = [np.nan if x is None else x for x in r.calls]
+        """The result of a block from its rows in source order: the matrix, or a tuple with metadata."""
+        dense = np.array([r.calls for r in rows], dtype=np.float32).reshape(len(rows), self._width(o, places))
+        variants = pd.DataFrame([[r[c] for c in ops.VARIANT_COLUMNS] for r in rows], columns=list(ops.VARIANT_COLUMNS)) if o.return_variants else None
+        return self._result(dense, variants, o, places)
+
+    def _width(self, o: ReadOptions, places: list[int] | None) -> int:
+        return (len(self.sample_rows()) if places is None else len(places)) * (2 if o.kind == "haplo" else 1)
+
+    def _result(self, dense: np.ndarray, variants: pd.DataFrame | None, o: ReadOptions, places: list[int] | None):
+        """The result of variants x samples values: the matrix, or a tuple with metadata."""
         if o.sparse:
             matrix = _sparse(dense, o)
         else:
@@ -259,7 +263,7 @@ class Dataset:
         if o.return_samples:
             out.append(self.samples_frame(o, places))
         if o.return_variants:
-            out.append(pd.DataFrame([[r[c] for c in ops.VARIANT_COLUMNS] for r in rows], columns=list(ops.VARIANT_COLUMNS)))
+            out.append(variants)
         return tuple(out) if len(out) > 1 else matrix
 
     def read(self, **options: Any):
@@ -273,12 +277,30 @@ class Dataset:
         places = self._places(o.samples)
         n = len(self.sample_rows()) if places is None else len(places)
         with public_errors():
-            frame = self._frame(o, places)
-            most = MOST_CELLS // max(1, n)
-            rows = list(islice(frame.orderBy("variant_idx").toLocalIterator(prefetchPartitions=True), most + 1))
-        if len(rows) > most:
-            raise InvalidOptionError(f"the result has more than {MOST_CELLS} cells; use frame() or iter_blocks()")
-        return self.assemble(rows, o, places)
+            frame = self._frame(o, places, o.return_variants).select("variant_idx", *(ops.VARIANT_COLUMNS if o.return_variants else ()), "calls")
+            bound = self._most_variants()
+            if (bound is None or bound * max(1, n) > MOST_CELLS) and frame.count() * max(1, n) > MOST_CELLS:
+                raise InvalidOptionError(f"the result has more than {MOST_CELLS} cells; use frame() or iter_blocks()")
+            table = frame.toArrow()
+        # rows come in any order; sorting their numbers here spares a sort of the whole rows
+        order = np.argsort(table.column("variant_idx").to_numpy(), kind="stable")
+        values = [c.flatten().to_numpy(zero_copy_only=False) for c in table.column("calls").chunks]
+        dense = np.concatenate(values).astype(np.float32, copy=False) if values else np.zeros(0, dtype=np.float32)
+        dense = dense.reshape(len(order), self._width(o, places))[order]
+        variants = table.select(list(ops.VARIANT_COLUMNS)).to_pandas().iloc[order].reset_index(drop=True) if o.return_variants else None
+        return self._result(dense, variants, o, places)
+
+    def _most_variants(self) -> int | None:
+        """A bound of the source's variants that headers and sizes give; none for compressed text and BCF."""
+        s = self.source
+        if s.format == "plink1":
+            return plink.bed_count(str(s.members["bed"]), len(self.sample_rows()))
+        if s.format == "plink2":
+            return plink.pgen_header(str(s.members["pgen"])).n_variants
+        if s.format == "bgen":
+            return bgen.read_header(str(s.path)).n_variants
+        # a line has two bytes a sample at least
+        return s.path.stat().st_size // (2 * max(1, len(self.sample_rows()))) if s.format == "vcf" and s.path.suffix == ".vcf" else None
 
     def iter_blocks(self, size: int, **options: Any) -> BlockIterator:
         """Consecutive blocks of at most ``size`` retained variants, each as :meth:`read` gives it."""

@@ -14,6 +14,7 @@ from __future__ import annotations
 import bisect
 import json
 from collections.abc import Iterator
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,13 @@ _ARROW = pa.schema(
     [("variant_idx", pa.int64()), ("chrom", pa.string()), ("pos", pa.int64()), ("id", pa.string()), ("a0", pa.string()), ("a1", pa.string())]
     + [("ref_allele", pa.string()), ("alt_allele", pa.string()), ("qual", pa.float32()), ("calls", pa.list_(pa.float32())), ("counted", pa.list_(pa.float32())), ("error", pa.string())]
 )
-#: Variants of a task, unless the format forces others, and cells of an Arrow batch.
-PART_VARIANTS, BATCH_CELLS = 8_192, 1 << 20
+#: Variants of a task at least and at most, its cells, unless the format forces others, and cells of an Arrow batch.
+LEAST_PART, MOST_PART, PART_CELLS, BATCH_CELLS = 256, 8_192, 1 << 22, 1 << 20
+
+
+def part_variants(n_samples: int) -> int:
+    """Variants of a task over files of so many samples."""
+    return max(LEAST_PART, min(MOST_PART, PART_CELLS // max(1, n_samples)))
 
 
 class Span(InputPartition):
@@ -44,6 +50,10 @@ class Span(InputPartition):
         self.first, self.last, self.places = first, last, places
 
 
+#: The four calls of every BED byte.
+BED_BYTES = plink.BED_CALLS[np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3].astype(np.float32)
+
+
 def _nulls(values: np.ndarray) -> pa.Array:
     return pa.array(values, type=pa.float32(), from_pandas=True)
 
@@ -51,8 +61,8 @@ def _nulls(values: np.ndarray) -> pa.Array:
 class _Rows:
     """Collects decoded variants into record batches."""
 
-    def __init__(self, with_calls: bool):
-        self.with_calls = with_calls
+    def __init__(self, with_calls: bool, with_counted: bool):
+        self.with_calls, self.with_counted = with_calls, with_counted
         self.clear()
 
     def clear(self) -> None:
@@ -73,7 +83,7 @@ class _Rows:
                 counted = none if counted is None else counted
         self.meta.append((number, *meta))
         self.calls.append(calls)
-        self.counted.append(counted)
+        self.counted.append(counted if self.with_counted else none)
         self.errors.append(error)
         self.cells += len(calls) + len(counted) + 16
 
@@ -95,13 +105,15 @@ class WideReader(DataSourceReader):
     """Reads one file or file set; subclasses know a format.
 
     Members: ``files``, ``content`` (``variants`` skips genotypes), ``kind``,
-    ``dosage`` and ``keep`` (ordinals of selected samples, or none for all).
+    ``dosage``, ``keep`` (ordinals of selected samples, or none for all) and ``named``
+    (whether the metadata of variants are wanted, where they lie in a file of their own).
     """
 
     def __init__(self, options: dict):
         self.files = options["files"]
         self.with_calls = options.get("content", "calls") == "calls"
         self.kind, self.dosage, self.keep = options.get("kind", "geno"), options.get("dosage", "hardcall"), options.get("keep")
+        self.named = options.get("named", True)
         # bounds of pushed filters only: 0 is a position too, that of unplaced variants
         self.chrom: str | None = None
         self.low, self.high = 0, (1 << 32) - 1
@@ -122,13 +134,17 @@ class WideReader(DataSourceReader):
     def outside(self, meta: tuple) -> bool:
         return (self.chrom is not None and meta[0] != self.chrom) or not self.low <= meta[1] <= self.high
 
+    def unbounded(self) -> bool:
+        return self.chrom is None and self.low == 0 and self.high == (1 << 32) - 1
+
     def kept(self, n: int) -> np.ndarray:
         return np.arange(n) if self.keep is None else np.array(self.keep, dtype=np.int64)
 
     def read(self, span: Span) -> Iterator[pa.RecordBatch]:
-        rows = _Rows(self.with_calls)
+        # calls of genotypes are what statistics count, so they are sent once
+        rows = _Rows(self.with_calls, self.kind == "haplo")
         for number, meta, decode in self.variants(span):
-            if self.outside(meta):
+            if meta[0] is not None and self.outside(meta):
                 continue
             rows.add(number, meta, decode)
             if rows.full():
@@ -158,26 +174,42 @@ class Plink1Reader(WideReader):
 
     def partitions(self) -> list[Span]:
         n = len(plink.read_fam(self.files["fam"]))
-        places, n_lines = _line_places(self.files["bim"], PART_VARIANTS)
+        part = part_variants(n)
+        places, n_lines = _line_places(self.files["bim"], part)
         n_records = plink.bed_count(self.files["bed"], n)
         if n_lines != n_records:
             raise InvalidSourceError(f"{self.files['bed']} has {n_records} records, but the BIM file {n_lines} lines")
-        return [Span(k * PART_VARIANTS, min(n_lines, (k + 1) * PART_VARIANTS), bim=p, samples=n) for k, p in enumerate(places)]
+        return [Span(k * part, min(n_lines, (k + 1) * part), bim=p, samples=n) for k, p in enumerate(places)]
 
-    def variants(self, span: Span) -> Iterator[tuple]:
+    def read(self, span: Span) -> Iterator[pa.RecordBatch]:
+        """Many records at once: those of a batch are decoded as one matrix."""
         n = span.places["samples"]
         keep, width = self.kept(n), -(-n // 4)
+        step = max(1, BATCH_CELLS // max(1, 4 * width))
+        named = self.named or not self.unbounded() or not self.with_calls
         with open(self.files["bim"], encoding="utf-8") as bim, open(self.files["bed"], "rb") as bed:
             bim.seek(span.places["bim"])
-            bed.seek(3 + span.first * width)
-            for number, line in zip(range(span.first, span.last), (x for x in bim if x.strip())):
-                raw = bed.read(width)
-
-                def decode(raw: bytes = raw) -> tuple[np.ndarray, np.ndarray]:
-                    calls = plink.BED_CALLS[plink.two_bit(np.frombuffer(raw, np.uint8), n)][keep]
-                    return calls, calls
-
-                yield number, plink.parse_bim(line, self.files["bim"]), decode
+            lines = (x for x in bim if x.strip())
+            for first in range(span.first, span.last, step):
+                numbers = np.arange(first, min(first + step, span.last), dtype=np.int64)
+                if named:
+                    metas = [plink.parse_bim(line, self.files["bim"]) for line in islice(lines, len(numbers))]
+                    inside = np.array([not self.outside(m) for m in metas], dtype=bool)
+                    metas = [m for m, kept in zip(metas, inside) if kept]
+                    numbers = numbers[inside]
+                if not len(numbers):
+                    continue
+                columns = [pa.array(c, type=_ARROW.field(k + 1).type) for k, c in enumerate(zip(*metas))] if named else [pa.nulls(len(numbers), f.type) for f in list(_ARROW)[1:9]]
+                calls = np.zeros((len(numbers), 0), dtype=np.float32)
+                if self.with_calls:
+                    bed.seek(3 + first * width)
+                    packed = np.frombuffer(bed.read((int(numbers[-1]) + 1 - first) * width), dtype=np.uint8).reshape(-1, width)[numbers - first]
+                    calls = BED_BYTES[packed].reshape(len(numbers), 4 * width)
+                    calls = calls[:, :n] if self.keep is None else calls[:, keep]
+                none = pa.ListArray.from_arrays(pa.array(np.zeros(len(numbers) + 1, dtype=np.int32)), pa.array([], pa.float32()))
+                ends = pa.array(np.arange(len(numbers) + 1, dtype=np.int32) * calls.shape[1])
+                lists = pa.ListArray.from_arrays(ends, _nulls(np.ascontiguousarray(calls).reshape(-1)))
+                yield pa.RecordBatch.from_arrays([pa.array(numbers), *columns, lists, none, pa.nulls(len(numbers), pa.string())], schema=_ARROW)
 
 
 class Plink2Reader(WideReader):
@@ -193,7 +225,7 @@ class Plink2Reader(WideReader):
         n = len(plink.read_psam(self.files["psam"]))
         if n != h.n_samples:
             raise InvalidSourceError(f"the PGEN file has {h.n_samples} samples, but the PSAM file {n}")
-        starts = list(range(0, h.n_variants, PART_VARIANTS))
+        starts = list(range(0, h.n_variants, part_variants(n)))
         if h.types is not None:
             fresh = np.flatnonzero((h.types & 6) != 2)
             starts = sorted({int(fresh[np.searchsorted(fresh, s, side="right") - 1]) for s in starts})
@@ -206,7 +238,9 @@ class Plink2Reader(WideReader):
         h = plink.pgen_header(self.files["pgen"])
         reader, keep = plink.PgenReader(h), self.kept(h.n_samples)
         with open(self.files["pgen"], "rb") as f:
-            for number, meta in zip(range(span.first, span.last), plink.pvar_from(self.files["pvar"], span.places["header"], span.places["place"])):
+            named = self.named or not self.unbounded() or not self.with_calls
+            metas = plink.pvar_from(self.files["pvar"], span.places["header"], span.places["place"]) if named else repeat((None,) * 8)
+            for number, meta in zip(range(span.first, span.last), metas):
                 start, end = (h.first + number * h.width(), h.first + (number + 1) * h.width()) if h.types is None else h.offsets[number : number + 2]
                 record = None
                 if self.with_calls:  # rejected records too: later ones may refer to them
@@ -244,10 +278,10 @@ class BgenReader(WideReader):
         if region and whole is not None:
             hits = [p for p, _ in bgen.indexed(path, region)]
             numbers = [bisect.bisect_left(places, p) for p in hits]
-        numbers = list(numbers)
+        numbers, step = list(numbers), part_variants(h.n_samples)
         return [
             Span(part[0], part[-1] + 1, variants=[(k, places[k], sizes.get(places[k])) for k in part], compression=h.compression, samples=h.n_samples)
-            for part in (numbers[i : i + PART_VARIANTS] for i in range(0, len(numbers), PART_VARIANTS))
+            for part in (numbers[i : i + step] for i in range(0, len(numbers), step))
         ]
 
     def variants(self, span: Span) -> Iterator[tuple]:
