@@ -11,6 +11,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,8 +32,9 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-#: Folders of the jobs of this process, with their sessions.
+#: Folders of the jobs of this process, with their sessions, and what else is to be undone with them.
 _ROOTS: dict[str, SparkSession] = {}
+_UNDONE: dict[str, Callable[[], None]] = {}
 
 
 def delete_folder(spark: SparkSession, path: str) -> None:
@@ -41,21 +44,38 @@ def delete_folder(spark: SparkSession, path: str) -> None:
 
 def remove_tables() -> None:
     """Delete the intermediate tables of this process; DataFrames that read them can't be used any more."""
-    while _ROOTS:
-        root, spark = _ROOTS.popitem()
+    _remove(list(_ROOTS))
+
+
+def _remove(roots: list[str]) -> None:
+    for root in roots:
+        spark, undo = _ROOTS.pop(root), _UNDONE.pop(root, None)
         try:
+            if undo:
+                undo()
             delete_folder(spark, root)
         except Exception:  # noqa: BLE001 - a session that has ended can't delete; its folder is then left
             continue
 
 
+@contextmanager
+def scoped_tables() -> Iterator[None]:
+    """Delete the intermediate tables that are made within, at the end; results must have been written by then."""
+    before = set(_ROOTS)
+    try:
+        yield
+    finally:
+        _remove([root for root in _ROOTS if root not in before])
+
+
 atexit.register(remove_tables)
 
 
 class Workspace:
     """Numbered parquet tables of one job under the shared folder.
 
-    They are deleted by :func:`remove_tables`, which runs when the process ends.
+    They are deleted at the end of :func:`scoped_tables`, or by :func:`remove_tables`, which
+    runs when the process ends.
     """
 
     def __init__(self, spark: SparkSession, job: str):
@@ -64,6 +84,10 @@ class Workspace:
         _ROOTS[self.root] = spark
         self._n = 0
 
+    def at_removal(self, undo: Callable[[], None]) -> None:
+        """Run ``undo`` before the tables are deleted."""
+        _UNDONE[self.root] = undo
+
     def path(self, name: str) -> str:
         self._n += 1
         return f"{self.root}/{self._n:04d}-{name}"

@@ -51,3 +51,16 @@ def test_metadata_filters_need_no_statistics_and_contradictions_no_scan(spark):
 def test_array_statistics_take_no_shuffle(spark):
     for name in ("variant_stats_hardcall", "variant_stats_dosage", "read_impute_mean", "haplotype_long", "filter_stats_wide"):
         assert "Exchange" not in plan(spark, name)
+
+
+def test_scoped_tables_are_deleted_at_the_end(spark, tmp_path):
+    from lociframe.plans import Workspace, scoped_tables
+
+    kept = Workspace(spark, "kept").store(spark.range(3), "t")
+    undone = []
+    with scoped_tables():
+        ws = Workspace(spark, "scoped")
+        ws.at_removal(lambda: undone.append(ws.root))
+        stored = ws.store(spark.range(5), "t")
+        assert stored.count() == 5 and not undone
+    assert undone == [ws.root] and not os.path.exists(ws.root.removeprefix("file:")) and kept.count() == 3
