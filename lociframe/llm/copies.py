@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 
 from lociframe.plans import Workspace, skew_join
 from lociframe.plans.joins import HOT_ROWS, MOST_HOT_KEYS, md5_key
-from lociframe.plans.workspace import shared_folder
-
 
 #: The ASCII characters that are neither letters nor digits.
 ASCII_SIGNS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
@@ -59,17 +57,21 @@ class CopyLedger:
 
     Each batch writes a new version and then removes the one before, so a job that
     fails half-way leaves the last whole version in place; a version is whole if
-    its folder holds ``_SUCCESS``.
+    its folder holds ``_SUCCESS``.  Without a folder of its own the ledger is an
+    intermediate table and is removed with these.
     """
 
     SCHEMA = "key BINARY, n_copies BIGINT, keep_id BIGINT"
 
     def __init__(self, spark: SparkSession, folder: str | None = None, buckets: int | None = None):
         self.spark = spark
-        self.folder = folder or f"{shared_folder(spark)}/copy-ledger-{uuid.uuid4().hex}"
+        ws = None if folder else Workspace(spark, "copy-ledger")
+        self.folder = folder or ws.root
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self._name = f"copy_ledger_{uuid.uuid4().hex}"
         self.version = self._newest()
+        if ws:
+            ws.at_removal(lambda: self._remove(self.version))
         if self.version:
             self._register(self.version)
 
@@ -150,6 +152,11 @@ def ledger_of(rows: DataFrame, at: str = "received_at") -> CopyLedger:
     return ledger
 
 
+def ledger_of_feed(feed: DataFrame, at: str = "received_at") -> CopyLedger:
+    """The ledger of a feed, whose keys are worked out once and stored."""
+    return ledger_of(Workspace(feed.sparkSession, "copies").store(keyed(feed, at), "keys"), at)
+
+
 def copy_pairs(rows: DataFrame, ledger: CopyLedger) -> DataFrame:
     """``(keep_id, copy_id)``: the earliest record of each group and each other one.
 

@@ -24,13 +24,13 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record without nulls once, with the number of its copies."""
     feed = table(spark, sf_dir, "variant_feed")
-    return copies.records_once(feed, copies.ledger_of(copies.keyed(feed, "received_at")))
+    return copies.records_once(feed, copies.ledger_of_feed(feed))
 
 
 def p2_all_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record once, with the number of its copies; rows with a null are records of one copy."""
     feed = table(spark, sf_dir, "variant_feed")
-    return copies.every_record(feed, copies.ledger_of(copies.keyed(feed, "received_at")))
+    return copies.every_record(feed, copies.ledger_of_feed(feed))
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

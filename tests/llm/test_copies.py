@@ -94,3 +94,16 @@ def test_every_record_comes_out_once_also_with_nulls(spark):
     feed = frame(spark, rows)
     got = [tuple(r) for r in copies.every_record(feed, copies.ledger_of(copies.keyed(feed, "received_at"))).collect()]
     assert sorted(got, key=str) == sorted([(*r[:5], {1: 2, 2: 1}.get(r[0], 1)) for r in rows if r[0] != 3], key=str)
+
+
+def test_a_ledger_without_a_folder_goes_with_the_intermediate_tables(spark):
+    import os
+
+    from lociframe.plans import scoped_tables
+
+    before = spark.catalog.listTables()
+    with scoped_tables():
+        ledger = copies.CopyLedger(spark)
+        ledger.apply(spark.createDataFrame([(b"k", 1), (b"k", 2)], "key binary, rec_id long"))
+        assert ledger.entries().count() == 1 and os.path.exists(ledger.folder.removeprefix("file:"))
+    assert not os.path.exists(ledger.folder.removeprefix("file:")) and len(spark.catalog.listTables()) == len(before)
