@@ -157,9 +157,9 @@ def long_cells(wide: DataFrame, calls: str = "calls", keep: Sequence[str] = ("va
     return wide.select(*keep, F.posexplode(calls).alias("at", "value")).select(*keep, F.col("at").cast("long").alias("sample_idx"), "value")
 
 
-def nonzero_cells(wide: DataFrame, calls: str = "calls") -> DataFrame:
+def nonzero_cells(wide: DataFrame, calls: str = "calls", keep: Sequence[str] = ("variant_idx",)) -> DataFrame:
     """The sparse long form: cells that are neither zero nor missing."""
-    return long_cells(wide, calls).where((F.col("value") != 0) & F.col("value").isNotNull())
+    return long_cells(wide, calls, keep).where((F.col("value") != 0) & F.col("value").isNotNull())
 
 
 def csc_columns(wide: DataFrame, calls: str = "calls") -> DataFrame:
@@ -171,7 +171,36 @@ def csc_columns(wide: DataFrame, calls: str = "calls") -> DataFrame:
     pairs = F.filter(F.transform(calls, lambda x, i: F.struct(i.cast("int").alias("i"), x.cast("float").alias("x"))), lambda p: p["x"] != 0)
     cut = wide.select("variant_idx", F.transform(pairs, lambda p: p["i"]).alias("indices"), F.transform(pairs, lambda p: p["x"]).alias("data"))
     counted = cut.withColumn("nnz", F.size("indices").cast("long"))
-    return with_running(counted, "variant_idx", ordinal="column", sums={"nnz": "indptr_end"})
+    ended = with_running(counted, "variant_idx", ordinal="column", sums={"nnz": "indptr_end"})
+    return ended.withColumn("indptr_end", F.when(_fits("indptr_end").isNotNull(), F.col("indptr_end")))
+
+
+#: Variants whose values of one sample share a row of the transposed forms.
+PART_VARIANTS = 65_536
+#: The largest place and number of entries that 32-bit indices hold.
+MOST_32 = (1 << 31) - 1
+
+
+def csr_parts(wide: DataFrame, calls: str = "calls", part_variants: int = PART_VARIANTS) -> DataFrame:
+    """Sparse rows: ``sample_idx, part, indices, data, nnz, indptr_end``.
+
+    ``indices`` are columns, numbered over the retained variants in source order.  A
+    sample's row is parted by columns, so no task gathers more than ``part_variants``
+    entries of it; parts without entries have no row.  ``indptr_end`` is the part's
+    end in the joined entries of all samples.  Columns or entries beyond 32 bits fail.
+    """
+    numbered = with_ordinal(wide.select("variant_idx", calls), "variant_idx", "column")
+    cells = nonzero_cells(numbered, calls, ("column",)).withColumn("part", F.floor(F.col("column") / part_variants).cast("long"))
+    entry = F.struct(_fits("column").alias("i"), F.col("value").cast("float").alias("x"))
+    parts = cells.groupBy("sample_idx", "part").agg(F.sort_array(F.collect_list(entry)).alias("e"))
+    rows = parts.select("sample_idx", "part", F.transform("e", lambda p: p["i"]).alias("indices"), F.transform("e", lambda p: p["x"]).alias("data"), F.size("e").cast("long").alias("nnz"))
+    summed = with_running(rows.withColumn("__order", F.col("sample_idx") * (1 << 31) + F.col("part")), "__order", sums={"nnz": "indptr_end"}).drop("__order")
+    return summed.withColumn("indptr_end", _fits("indptr_end"))
+
+
+def _fits(name: str) -> Column:
+    """A whole number in 32 bits, or an error."""
+    return F.when(F.col(name) <= MOST_32, F.col(name).cast("int")).otherwise(F.raise_error(F.lit(tag(InvalidSourceError, "the sparse result doesn't fit 32-bit indices"))).cast("int"))
 
 
 def csr_rows(wide: DataFrame, n_samples: int, calls: str = "calls") -> DataFrame:
@@ -181,14 +210,16 @@ def csr_rows(wide: DataFrame, n_samples: int, calls: str = "calls") -> DataFrame
     return rows.join(counts, "sample_idx", "left").select("sample_idx", F.coalesce("nnz", F.lit(0)).cast("long").alias("nnz"))
 
 
-def sample_major(wide: DataFrame, calls: str = "calls") -> DataFrame:
-    """The transpose: one row a sample, with the values of all variants in source order.
+def sample_major(wide: DataFrame, calls: str = "calls", part_variants: int = PART_VARIANTS) -> DataFrame:
+    """The transpose: ``sample_idx, part, values``, the values of a sample for all variants in source order.
 
-    For cohorts whose number of retained variants fits a row; larger ones stay long.
+    A sample's values are parted: part ``k`` holds those of the retained variants from the
+    one numbered ``k * part_variants`` on, so no task gathers more than that many of them.
     """
-    cells = long_cells(wide, calls)
-    ordered = F.sort_array(F.collect_list(F.struct("variant_idx", "value")))
-    return cells.groupBy("sample_idx").agg(F.transform(ordered, lambda x: x["value"]).alias("values"))
+    numbered = with_ordinal(wide.select("variant_idx", calls), "variant_idx", "column")
+    cells = long_cells(numbered, calls, ("column",)).withColumn("part", F.floor(F.col("column") / part_variants).cast("long"))
+    ordered = F.sort_array(F.collect_list(F.struct("column", "value")))
+    return cells.groupBy("sample_idx", "part").agg(F.transform(ordered, lambda x: x["value"]).alias("values"))
 
 
 def haplotype_samples(samples: DataFrame) -> DataFrame:
@@ -204,8 +235,20 @@ def variant_blocks(wide: DataFrame, size: int, name: str = "block_idx") -> DataF
 
 
 def variant_window(wide: DataFrame, start: int, length: int) -> DataFrame:
-    """``length`` retained variants from the one numbered ``start`` in source order."""
-    return wide.orderBy("variant_idx").offset(start).limit(length)
+    """``length`` retained variants from the one numbered ``start`` in source order.
+
+    The numbers are worked out over ``variant_idx`` alone, without sorting the rows in one
+    place; whole rows are then read only between the window's first and last ``variant_idx``,
+    bounds that a scan takes.
+    """
+    numbered = with_ordinal(wide.select("variant_idx"), "variant_idx", "__number")
+    inside = numbered.where((F.col("__number") >= start) & (F.col("__number") < start + length))
+    low, high = inside.agg(F.min("variant_idx"), F.max("variant_idx")).first()
+    if low is None:
+        return wide.where(F.lit(False))
+    before = numbered.where(F.col("variant_idx") < low).count()
+    rows = with_ordinal(wide.where(F.col("variant_idx").between(low, high)), "variant_idx", "__number")
+    return rows.where((F.col("__number") + before >= start) & (F.col("__number") + before < start + length)).drop("__number")
 
 
 #: Positions that share a bin of the range join.
@@ -217,21 +260,34 @@ def region_join(variants: DataFrame, regions: DataFrame) -> DataFrame:
 
     ``regions`` has ``region_idx, chrom, start, end``.  Both sides meet in bins of
     positions by equal keys, so the join is planned without comparing all pairs;
-    regions are broadcast if they are counted to be few.  Null or turned bounds hold
+    regions are broadcast if they are counted to be few, and else a bin of very many
+    variants is divided.  Null or turned bounds hold
     nothing.
     """
     binned = regions.where(F.col("start") <= F.col("end")).select(
-        "region_idx", F.col("chrom").alias("r_chrom"), "start", "end", F.explode(F.sequence(F.floor(F.col("start") / BIN), F.floor(F.col("end") / BIN))).alias("bin")
+        "region_idx", F.col("chrom").alias("r_chrom"), "start", "end", F.explode(F.sequence(F.floor(F.col("start") / BIN), F.floor(F.col("end") / BIN))).alias("__bin")
     )
-    here = variants.withColumn("bin", F.floor(F.col("pos") / BIN))
-    right = F.broadcast(binned) if within(binned, BROADCAST_ROWS) else binned
-    hits = here.join(right, (here.bin == right.bin) & (here.chrom == F.col("r_chrom")) & here.pos.between(F.col("start"), F.col("end"))).drop("bin", "r_chrom", "start", "end")
+    place = lambda chrom: F.concat_ws(":", F.col("__bin").cast("string"), chrom)
+    here = variants.withColumn("__bin", F.floor(F.col("pos") / BIN)).where(F.col("chrom").isNotNull() & F.col("pos").isNotNull())
+    right = binned.withColumn("__place", place("r_chrom")).drop("__bin", "r_chrom")
+    met = sized_join(here.withColumn("__place", place("chrom")).drop("__bin"), right, "__place", "inner", spread_by="variant_idx")
+    hits = met.where(F.col("pos").between(F.col("start"), F.col("end"))).drop("__place", "start", "end")
     return regions.join(hits.withColumnRenamed("chrom", "variant_chrom"), "region_idx", "left")
 
 
-def align_design(samples: DataFrame, table: DataFrame, on: str = "iid") -> DataFrame:
-    """Samples in source order with the columns of a phenotype or covariate table, null where it has none."""
-    return samples.join(table, on, "left").orderBy("sample_idx")
+def align_design(samples: DataFrame, table: DataFrame, on: str = "iid", complete: bool = False) -> DataFrame:
+    """Samples in source order with the columns of a phenotype or covariate table, null where it has none.
+
+    With ``complete`` a sample that lacks any of these columns is a MissingDataError.
+    """
+    joined = samples.join(table, on, "left").orderBy("sample_idx")
+    if not complete:
+        return joined
+    lacking = F.lit(False)
+    for name in (c for c in table.columns if c != on):
+        lacking = lacking | F.col(name).isNull()
+    failed = F.raise_error(F.concat(F.lit(tag(MissingDataError, "no phenotype or covariate for sample ")), F.col(on).cast("string"))).cast("long")
+    return joined.withColumn("sample_idx", F.when(lacking, failed).otherwise(F.col("sample_idx")))
 
 
 def diagnostics(candidates: DataFrame, retained: DataFrame, n_source_samples: int, n_samples: int) -> DataFrame:

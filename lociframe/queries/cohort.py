@@ -259,13 +259,13 @@ def read_impute_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.long_cells(ops.apply_missing(wide(spark, sf_dir), "impute")).withColumn("value", F.round(F.col("value").cast("double"), 6))
 
 
-_WHOLE = f", kept AS (SELECT variant_idx, row_number() OVER (PARTITION BY variant_idx ORDER BY sample_idx) - 1 AS sample_idx, value FROM g WHERE sample_idx IN {_KEPT})," + """
-whole AS (SELECT variant_idx, sum(value) > count(*) AS flip FROM kept GROUP BY 1 HAVING count(*) = count(value)),
-coo AS (SELECT variant_idx, sample_idx, CASE WHEN flip THEN 2 - value ELSE value END::FLOAT AS value FROM kept JOIN whole USING (variant_idx)) """
+_WHOLE = """, whole AS (SELECT variant_idx, sum(value) > count(*) AS flip FROM g GROUP BY 1 HAVING count(*) = count(value)),
+coo AS (SELECT variant_idx, sample_idx, CASE WHEN flip THEN 2 - value ELSE value END::FLOAT AS value FROM g JOIN whole USING (variant_idx)) """
 
 
 def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.orient_minor(ops.read_variants(_subset(spark, sf_dir), f.missing_rate(0.0), "raise"))
+    """Variants without missing calls, of all samples, as sparse forms need them."""
+    return ops.orient_minor(ops.read_variants(wide(spark, sf_dir), f.missing_rate(0.0), "raise"))
 
 
 @query("sparse_coo_flipped", E_SQL + _WHOLE + "SELECT variant_idx, sample_idx, value FROM coo WHERE value <> 0")
@@ -285,14 +285,25 @@ def csc_indptr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("csr_row_nnz", E_SQL + _WHOLE + "SELECT sample_idx, count(*) FILTER (value <> 0) AS nnz FROM coo GROUP BY 1")
 def csr_row_nnz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.csr_rows(_sparse(spark, sf_dir), len(SUBSET))
+    return ops.csr_rows(_sparse(spark, sf_dir), wide_samples(spark).count())
+
+
+_COLUMNS = ", c AS (SELECT variant_idx, row_number() OVER (ORDER BY variant_idx) - 1 AS i FROM whole)"
+
+
+@query("csr_entries", E_SQL + _WHOLE + _COLUMNS + ", n AS (SELECT *, row_number() OVER (ORDER BY sample_idx, i) - 1 AS place FROM coo JOIN c USING (variant_idx) WHERE value <> 0) SELECT sample_idx, i::INTEGER AS column, place, value FROM n")
+def csr_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The joined entries of sparse rows, each with its place among all."""
+    parts = ops.csr_parts(_sparse(spark, sf_dir), part_variants=50)
+    entries = parts.select("sample_idx", (F.col("indptr_end") - F.col("nnz")).alias("start"), F.posexplode(F.arrays_zip("indices", "data")).alias("at", "e"))
+    return entries.select("sample_idx", F.col("e.indices").alias("column"), (F.col("start") + F.col("at")).alias("place"), F.col("e.data").alias("value"))
 
 
 @query("sample_major_sums", E_SQL + "SELECT sample_idx, count(*) AS n_variants, sum(value)::DOUBLE AS total FROM g GROUP BY 1")
 def sample_major_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ops.sample_major(wide(spark, sf_dir))
+    rows = ops.sample_major(wide(spark, sf_dir), part_variants=300)
     total = F.aggregate("values", F.lit(0.0), lambda a, x: a + F.coalesce(x.cast("double"), F.lit(0.0)))
-    return rows.select("sample_idx", F.size("values").cast("long").alias("n_variants"), total.alias("total"))
+    return rows.groupBy("sample_idx").agg(F.sum(F.size("values")).cast("long").alias("n_variants"), F.sum(total).alias("total"))
 
 
 @query("haplotype_long", _HAPLO_SQL + "SELECT variant_idx, row_idx AS sample_idx, value FROM h")
@@ -358,9 +369,20 @@ def design_align_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.align_design(wide_samples(spark).select("sample_idx", "iid"), traits).select("sample_idx", "iid", "trait", "covariate")
 
 
-@query("diagnostics", _MAF_SQL + f"SELECT 64::BIGINT AS source_samples, {len(SUBSET)}::BIGINT AS retained_samples, (SELECT count(*) FROM e) AS candidate_variants, (SELECT count(*) FROM kept) AS retained_variants, (SELECT count(*) FROM e) - (SELECT count(*) FROM kept) AS dropped_variants")
+@query("diagnostics", E_SQL + f", kept AS (SELECT variant_idx FROM g WHERE sample_idx IN {_KEPT} GROUP BY 1 HAVING count(value) > 0 AND least(sum(value::DOUBLE) / (2 * count(value)), 1 - sum(value::DOUBLE) / (2 * count(value))) >= {_f32(0.2)}) SELECT (SELECT count(DISTINCT sample_idx) FROM g) AS source_samples, (SELECT count(DISTINCT sample_idx) FROM g WHERE sample_idx IN {_KEPT}) AS retained_samples, (SELECT count(*) FROM e) AS candidate_variants, (SELECT count(*) FROM kept) AS retained_variants, (SELECT count(*) FROM e) - (SELECT count(*) FROM kept) AS dropped_variants")
 def diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.diagnostics(wide(spark, sf_dir), _common(spark, sf_dir), 64, len(SUBSET))
+    """Counts of a read of some samples: how many there are, and which variants pass among those kept."""
+    places = ops.sample_places(wide_samples(spark), SUBSET)
+    kept = ops.keep_variants(ops.keep_samples(wide(spark, sf_dir), places), f.maf(min=0.2))
+    return ops.diagnostics(wide(spark, sf_dir), kept, wide_samples(spark).count(), len(places))
+
+
+@query("design_complete", "SELECT i AS sample_idx, 'S' || i AS iid, c_acctbal AS trait FROM (SELECT unnest(range(64)) AS i) JOIN customer ON c_custkey = i")
+def design_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The design of the samples that have a trait; with one lacking it this would fail."""
+    traits = table(spark, sf_dir, "customer").where(F.col("c_acctbal").isNotNull()).select(F.concat(F.lit("S"), F.col("c_custkey")).alias("iid"), F.col("c_acctbal").alias("trait"))
+    known = wide_samples(spark).select("sample_idx", "iid").join(traits.select("iid"), "iid", "left_semi")
+    return ops.align_design(known, traits, complete=True).select("sample_idx", "iid", "trait")
 
 
 _P = "abs(x) / (abs(x) + 1)"

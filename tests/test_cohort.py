@@ -73,15 +73,47 @@ def test_sparse_columns_rebuild_the_matrix(spark):
     np.testing.assert_array_equal(back, g)
     rows = {r.sample_idx: r.nnz for r in ops.csr_rows(w, 9).collect()}
     assert rows == {i: int((g[:, i] != 0).sum()) for i in range(9)}
-    major = {r.sample_idx: r["values"] for r in ops.sample_major(w).collect()}
-    np.testing.assert_array_equal(np.array([major[i] for i in range(9)]), g.T)
+    for size in (7, 1000):
+        major = {}
+        for r in sorted(ops.sample_major(w, part_variants=size).collect(), key=lambda r: (r.sample_idx, r.part)):
+            assert len(r["values"]) <= size
+            major.setdefault(r.sample_idx, []).extend(r["values"])
+        np.testing.assert_array_equal(np.array([major[i] for i in range(9)]), g.T)
+        back, end = np.zeros_like(g), 0
+        for r in sorted(ops.csr_parts(w, part_variants=size).collect(), key=lambda r: (r.sample_idx, r.part)):
+            end += r.nnz
+            assert r.indptr_end == end and r.indices == sorted(r.indices) and len(r.indices) == r.nnz <= size
+            back[r.indices, r.sample_idx] = r.data
+        np.testing.assert_array_equal(back, g)
+
+
+def test_sparse_forms_refuse_what_32_bits_cannot_hold(spark, monkeypatch):
+    monkeypatch.setattr(ops, "MOST_32", 2)
+    w = spark.createDataFrame([(k, [1.0, 2.0]) for k in range(3)], "variant_idx long, calls array<float>")
+    for made in (ops.csc_columns(w), ops.csr_parts(w)):
+        with pytest.raises(Exception, match="32-bit"):
+            made.collect()
+
+
+def test_design_needs_every_column_only_if_asked(spark):
+    samples = spark.createDataFrame([(1, "b"), (0, "a")], "sample_idx long, iid string")
+    traits = spark.createDataFrame([("a", 1.0, 2), ("b", None, 3)], "iid string, trait double, sex int")
+    assert [tuple(r) for r in ops.align_design(samples, traits).select("iid", "trait").collect()] == [("a", 1.0), ("b", None)]
+    for table in (traits, traits.where("iid = 'a'")):
+        with pytest.raises(Exception) as e:
+            ops.align_design(samples, table, complete=True).collect()
+        assert isinstance(untagged(e.value), MissingDataError)
+    assert ops.align_design(samples, traits.drop("trait"), complete=True).count() == 2
 
 
 def test_blocks_and_windows(wide, spark):
     many = spark.range(1000).select((F.col("id") * 7).alias("variant_idx")).repartition(13)
     got = {r.variant_idx: (r.retained_idx, r.block_idx) for r in ops.variant_blocks(many, 64).collect()}
     assert got == {7 * k: (k, k // 64) for k in range(1000)}
-    assert [r.variant_idx for r in ops.variant_window(many, 10, 3).collect()] == [70, 77, 84]
+    for start, length in ((10, 3), (0, 1), (998, 50), (1000, 5), (5, 0)):
+        assert sorted(r.variant_idx for r in ops.variant_window(many, start, length).collect()) == [7 * k for k in range(1000)][start : start + length]
+    repeated = spark.createDataFrame([(k,) for k in (1, 2, 2, 2, 3)], "variant_idx long")
+    assert [ops.variant_window(repeated, a, 2).count() for a in range(6)] == [2, 2, 2, 2, 1, 0]
     with pytest.raises(L.InvalidOptionError):
         ops.variant_blocks(wide, True)
 
@@ -92,6 +124,15 @@ def test_region_join_keeps_empty_regions_and_crosses_bins(wide, spark):
     assert {x.region_idx: x.v for x in got} == {0: [0, 1], 1: [3], 2: [], 3: [], 4: [1], 5: []}
 
 
+def test_region_join_is_the_same_where_regions_are_many(wide, spark, monkeypatch):
+    from lociframe.plans import joins
+
+    r = spark.createDataFrame([(0, "1", 1, 200000), (1, "2", 6, 9), (2, "9", 1, 5)], "region_idx long, chrom string, start long, end long")
+    few = sorted(map(str, ops.region_join(wide, r).collect()))
+    monkeypatch.setattr(ops, "sized_join", lambda a, b, key, how, spread_by: joins.skew_join(a, b, key, how, hot_rows=1, spread_by=spread_by))
+    assert sorted(map(str, ops.region_join(wide, r).collect())) == few
+
+
 def test_samples_are_found_once_or_refused(spark):
     s = spark.createDataFrame([(0, "A"), (1, "B"), (2, "B")], "sample_idx long, iid string")
     assert ops.sample_places(s, ["A"]) == [0] and ops.sample_places(s, []) == []
